@@ -1,0 +1,66 @@
+import base64
+import hashlib
+import random
+import re
+
+from quillfact.llm import op7_secrets as m
+
+
+def plain(t):
+    t = t or ""
+    out = []
+    for r, (k, p, ok) in enumerate(
+        [
+            ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda x: len(x[1]) >= 6),
+            ("access", r"AKIA[A-Z0-9]+", lambda x: len(x[0]) >= 20),
+            ("hex", r"[0-9a-f]+", lambda x: len(x[0]) >= 24),
+        ]
+    ):
+        out += [(x.start(), r, x.end(), k) for x in re.finditer(p, t, re.A) if ok(x)]
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+def base(spans):
+    return [s for s in spans if s[0] in m.BASE_KINDS]
+
+
+def test_base_matches_whole_text_search():
+    rng = random.Random(0)
+    find = m.Scanner()
+    bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apiKEY", "=", ":", " ", '"', "'", "AKIA", "akia", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789abcdef", "ABCdef0", "é", "İ", "ſecret", "x", "\n", "-", "toke", "tokentoken"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert base(find(t)) == plain(t), t
+    assert find("") == []
+
+
+def test_checksummed_tokens():
+    find = m.Scanner()
+    body = "A" * 30
+    good = f"ghp_{body}{m.crc_digits(body)}"
+    assert find(f"x {good} y") == [("github", 2, 42)]
+    assert find(f"x ghp_{body}000000 y") == []
+    assert find(f"npm_{body}{m.crc_digits(body)}")[0][0] == "npm"
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    assert ("jwt", 0, len(head) * 2 + 4) in find(f"{head}.{head}.ab")
+    assert find("eyJxx.eyJyy.zz") == []
+    assert find("-----BEGIN RSA PRIVATE KEY-----")[0][0] == "pem"
+
+
+def test_redaction_leaves_nothing():
+    find = m.Scanner()
+    t = "a password = hunter22 b " + "0f" * 20 + " c token: " + "ab" * 20
+    r = m.redact(t, find(t))
+    assert find(r) == [] and r.startswith("a [assign removed] b [hex removed] c ")
+
+
+def test_query_and_cases(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in m.op7_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    for d in docs:
+        want = plain(d.text)
+        assert got[d.doc_id].base_sha256 == hashlib.sha256(m.joined(want).encode()).hexdigest()
+        assert [got[d.doc_id].n_assign, got[d.doc_id].n_access, got[d.doc_id].n_hex] == [sum(w[0] == k for w in want) for k in m.BASE_KINDS]
+    df = spark.createDataFrame([(None, None, 1), (1, "token=abcdef1", 2), (1, "token=abcdef1", 2)], "doc_id long, text string, spans int")
+    rows = m.scan(df).collect()
+    assert sorted(len(r.spans) for r in rows) == [0, 1, 1] and m.scan(df.limit(0)).count() == 0
