@@ -1,0 +1,82 @@
+import math
+
+import numpy as np
+
+from quillfact.llm import op1_embedding_dedup as m
+
+
+def brute(rows):
+    """rows: (vec_id, vector, label) -> sorted (vec_id, n_links, component_id, kept)."""
+    ok = [v is not None and lab is not None and None not in v and all(map(math.isfinite, v)) and any(v) for _, v, lab in rows]
+    n = len(rows)
+    x = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if o else None for (_, v, _), o in zip(rows, ok)]
+    deg, comp = [0] * n, list(range(n))
+
+    def find(i):
+        while comp[i] != i:
+            comp[i] = comp[comp[i]]
+            i = comp[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.98:
+                deg[i] += 1
+                deg[j] += 1
+                comp[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(((r[0], deg[i], least.get(find(i)), r[0] is not None and r[0] == least.get(find(i))) for i, r in enumerate(rows)), key=str)
+
+
+def clusters(seed, groups, noise, dim=64, each=30):
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        c = rng.standard_normal(dim)
+        for _ in range(each):
+            out.append((c + noise * rng.standard_normal(dim) * np.linalg.norm(c) / np.sqrt(dim)).astype(np.float32).tolist())
+    return out
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def test_recall_and_precision(spark):
+    vectors = clusters(1, 8, 0.14) + clusters(2, 8, 0.1) + clusters(3, 200, 0.5, each=2)
+    rows = [(i, v, i % 2 if i > 300 else 0) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in m.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {r[0]: r for r in brute(rows)}
+    assert set(got) == set(want)
+    assert all(got[i].n_links <= want[i][1] for i in want)
+    total = sum(w[1] for w in want.values())
+    assert total > 3000 and sum(g.n_links for g in got.values()) >= 0.99 * total
+    same = sum(got[i].component_id == want[i][2] for i in want) / len(want)
+    assert same > 0.99 and all(g.kept == (g.vec_id == g.component_id) for g in got.values())
+
+
+def test_slices_count_each_pair_once(spark, monkeypatch):
+    vectors = clusters(4, 1, 0.05, each=90)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], SCHEMA)
+    want = [(i, 89, 0) for i in range(90)]
+    for size in (1024, 7):
+        monkeypatch.setattr(m, "SLICE", size)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in m.near_dedup(df).collect()) == want
+
+
+def test_cases(spark):
+    v = clusters(5, 1, 0, each=1)[0]
+    w = [-x for x in v]
+    rows = [(9, v, 1), (4, v, 1), (4, v, 1), (3, v, 2), (8, v, None), (None, v, 1), (1, None, 1), (2, [0.0] * 64, 1), (5, v[:-1] + [None], 1), (6, v[:-1] + [float("nan")], 1), (7, w, 1), (10, v[:5], 1), (11, [], 1), (None, None, None)]
+    rows += [(12, [2 * x for x in v], 1)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as n_links")
+    got = sorted((tuple(r) for r in m.near_dedup(df).collect()), key=str)
+    assert got == brute(rows)
+    assert m.near_dedup(df.limit(0)).count() == 0
+
+
+def test_query(spark):
+    out = m.op1_embedding_near_dedup(spark, "/root/testdata/sf0.001")
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
