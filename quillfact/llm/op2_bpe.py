@@ -39,6 +39,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, pick, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 300_000  # words remembered by a worker; beyond it the memory is emptied
+CACHE = 150_000  # words remembered by a worker; beyond it the memory is emptied
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the expression doesn't
 
@@ -83,6 +84,9 @@ class Automaton:
             self.born[w], self.first[w], self.second[w] = step, a, b
             self.taken[a, b] = step
         self.table: dict[tuple[int, int], bool] = {}
+        self.ids = vocab
+        #: prefix -> state: transitions taken so far, shared by all words with that prefix
+        self.ends: dict[str, int] = {}
         self.longest = max(map(len, vocab), default=1)
 
     def arc(self, a: int, b: int) -> bool:
@@ -104,34 +108,36 @@ class Automaton:
             else:  # a is a copy of the state after its second part, before the split
                 a, step = self.second[a], born[a] - 1
 
-    def encode(self, symbols: list[str], ids_of: dict[str, int]) -> list[int]:
-        """Token ids of a word given as base symbols; ``ids_of`` maps labels to ids."""
-        n = len(symbols)
-        state, came = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            label, width = "", 0
-            for j in range(i - 1, -1, -1):
-                label = symbols[j] + label
-                if len(label) > self.longest:
-                    break
-                t = ids_of.get(label)
-                if t is not None and (self.alive[t] if j == 0 else self.arc(state[j], t)) and self._whole(t, i - j):
-                    width = i - j
-                    state[i] = t
-                    break
-            if not width:
-                raise ValueError(f"no token ends at {symbols[:i]!r}")
-            came[i] = i - width
-        out = []
-        while n:
-            out.append(state[n])
-            n = came[n]
+    def step(self, read: str, ends: dict[str, int], suffix: str = "") -> int:
+        """The state after the symbols ``read`` (one character each), the last with ``suffix``.
+
+        ``ends`` gives the states of all shorter prefixes: the token sought is the
+        one that ends here and whose arc leaves the state where it starts.
+        """
+        label_id, born, n = self.ids.get, self.born, len(read)
+        for j in range(n - 1, max(-1, n - 1 - self.longest), -1):
+            t = label_id(read[j:] + suffix)
+            # a label of several symbols that spells a base symbol is not its arc
+            if t is not None and (born[t] or j == n - 1) and (self.arc(ends[read[:j]], t) if j else self.alive[t]):
+                return t
+        raise ValueError(f"no token ends at {read + suffix!r}")
+
+    def encode(self, symbols: str, suffix: str = "") -> list[int]:
+        """Token ids of a word of base symbols, one character each, the last with ``suffix``."""
+        ends, n = self.ends, len(symbols)
+        k = n - 1
+        while k > 0 and symbols[:k] not in ends:
+            k -= 1
+        for i in range(k + 1, n):
+            ends[symbols[:i]] = self.step(symbols[:i], ends)
+        t = self.step(symbols, ends, suffix)
+        out, at = [t], n - len(self.label[t]) + len(suffix)
+        while at:
+            t = ends[symbols[:at]]
+            out.append(t)
+            at -= len(self.label[t])
         return out[::-1]
 
-    def _whole(self, t: int, width: int) -> bool:
-        """A base symbol is one symbol wide; its label spelt by several symbols is not its arc."""
-        return self.born[t] > 0 or width == 1
-
 
 class Codec:
     """encode and decode of one tokenizer file; one per worker."""
@@ -150,28 +156,32 @@ class Codec:
         for s, i in self.added.items():
             self.label[i] = s
         self.byte = byte_alphabet()
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> list[int]:
-        symbols = [self.byte[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        return self.automaton.encode(symbols, self.vocab)
+    def _word(self, word: str) -> bytes:
+        if (got := self.known.get(word)) is None:
+            symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.byte[b] for b in word.encode("utf-8", "surrogatepass")])
+            got = self.known[word] = array("I", self.automaton.encode(symbols, self.suffix)).tobytes()
+        return got
 
-    def _spaced(self, chunk: str) -> list[int]:
+    def _spaced(self, chunk: str) -> bytes:
         """Ids of a stretch without white space."""
-        # lower case of each character by itself: the final form of sigma is not used
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(low) for i in self._word(w)]
+        if chunk.isascii():
+            low = chunk.lower()
+        else:  # lower case of each character by itself: the final form of sigma is not used
+            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return b"".join([self._word(w) for w in self.words.findall(low)])
 
     def _plain(self, text: str) -> list[bytes]:
-        if len(self.memory) > CACHE:
-            self.memory.clear()
-        if len(self.automaton.table) > 4 * CACHE:
-            self.automaton.table.clear()
+        auto = self.automaton
+        for kept, most in ((self.memory, CACHE), (self.known, CACHE), (auto.ends, 3 * CACHE), (auto.table, 3 * CACHE)):
+            if len(kept) > most:
+                kept.clear()
         memory, out = self.memory, []
         for chunk in SPACE.split(text) if ODD_SPACE.search(text) else text.split():
             if (got := memory.get(chunk)) is None:
-                got = memory[chunk] = np.array(self._spaced(chunk), "<u4").tobytes()
+                got = memory[chunk] = self._spaced(chunk)
             out.append(got)
         return out
 
@@ -179,12 +189,17 @@ class Codec:
         """Ids as unsigned 32-bit integers."""
         out: list[bytes] = []
         for k, part in enumerate(self.split_added.split(text)):
-            out += [np.array([self.added[part]], "<u4").tobytes()] if k % 2 else self._plain(part)
+            out += [array("I", [self.added[part]]).tobytes()] if k % 2 else self._plain(part)
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:
         """The labels of the ids, joined with one space; unknown ids are left out."""
         label, n = self.label, len(self.label)
+        if isinstance(ids, np.ndarray) and (not len(ids) or ids.max() < n):
+            try:
+                return " ".join(map(label.__getitem__, ids.tolist()))
+            except TypeError:  # an id without a label
+                pass
         return " ".join([s for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids) if 0 <= i < n and (s := label[i]) is not None])
 
 
