@@ -46,6 +46,14 @@ def test_tokenizer_equals_library():
     cases = ["", "a", " a", "a  b", "a \n b", "a\n b\n\n c", "x ", "it's we'll", "é ü  z", "a\tb c", "<|endoftext|> x", "x<|endoftext|>", "12 3,4 ###", "日本 語", "  x", "a \x1cb", "\n\n", "I've  I'm\r\n ok"]
     for c in cases:
         assert np.frombuffer(t(c), "<u2").tolist() == lib.encode(c, add_special_tokens=False).ids, repr(c)
+    assert t.fast is not None
+    rng = __import__("random").Random(1)
+    chars = [chr(c) for c in range(1, 0x250)] + list("abcdef   \n\t'sdmtllverR.,!") * 20
+    for _ in range(4000):
+        c = "".join(rng.choice(chars) for _ in range(rng.randint(0, 60)))
+        assert np.frombuffer(t(c), "<u2").tolist() == lib.encode(c, add_special_tokens=False).ids, repr(c)
+    long = "ab" * 3000 + " " * 500 + "#" * 999
+    assert np.frombuffer(t(long), "<u2").tolist() == lib.encode(long, add_special_tokens=False).ids
 
 
 def test_schedule_carries_deficits():
