@@ -35,7 +35,7 @@ MAX_LANGUAGES = 500
 MAX_WORDS = 200_000
 MIN_COUNT = 2
 ORDERS = (4, 3, 2, 1)
-CACHE = 400_000  # words remembered by a worker; beyond it the memory is emptied
+CHUNK = 1 << 16  # table rows gathered at once, so that a very long text needs bounded memory
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,25 +78,51 @@ class Model:
 
 
 class Scorer:
-    """Predicts with a model, remembering word vectors."""
+    """Predicts with a model; one table of all rows, and a few array operations a text."""
 
     def __init__(self, model: Model):
-        self.model, self.memory = model, {}
+        self.model, self.at = model, {}
+        first = 0
+        for n in (0, *ORDERS):
+            self.at[n] = {g: first + k for g, k in model.keys[n].items()}
+            first += len(model.keys[n])
+        self.rows = np.concatenate([model.rows[n] for n in (0, *ORDERS)]).astype(np.float64)
+
+    def _grams(self, word: str) -> list[int]:
+        for n in ORDERS:
+            at = self.at[n]
+            if known := [at[g] for g in grams(word, n) if g in at]:
+                return known
+        return []
 
     def __call__(self, text: str) -> tuple[str, float]:
         found = words(text)
         if not self.model.langs or not any(c.isalpha() for w in found for c in w):
             return "und", 0.0
-        if len(self.memory) > CACHE:
-            self.memory.clear()
+        get = self.at[0].get
         total = np.zeros(len(self.model.langs))
-        for w, c in Counter(found).items():
-            if (v := self.memory.get(w)) is None:
-                v = self.memory[w] = self.model.vector(w)
-            total += c * v
+        rows = [get(w, -1) for w in found]
+        known = np.array(rows, np.int64)
+        for part in np.array_split(known[known >= 0], len(known) // CHUNK + 1):
+            total += self.rows[part].sum(0)
+        flat, starts = [], []
+        for w in [w for w, r in zip(found, rows) if r < 0] if (known < 0).any() else ():
+            if g := self._grams(w):
+                starts.append(len(flat))
+                flat += g
+            if len(flat) > CHUNK:
+                total += self._means(flat, starts)
+                flat, starts = [], []
+        if flat:
+            total += self._means(flat, starts)
         best = int(np.argmax(total))
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
+    def _means(self, flat: list[int], starts: list[int]) -> np.ndarray:
+        """Sum over words of the mean row of their n-grams."""
+        counts = np.diff([*starts, len(flat)])
+        return (np.add.reduceat(self.rows[flat], starts, axis=0) / counts[:, None]).sum(0)
+
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model:
     """Fit on the rows of ``df`` that have text and a language; ``key_col`` only picks the sample."""
