@@ -51,11 +51,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = op3_simhash.near_dedup(docs)
-    keep = marked.where("kept").select(F.col("doc_id").alias("k")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["k"], "left_semi").dropDuplicates(["doc_id"])
+    marked = materialize(op3_simhash.near_dedup(docs).where("doc_id IS NOT NULL"), "marked")
+    # Small tables of ids against the documents: written first, so that Catalyst
+    # knows their size, and broadcasts them if small instead of moving the texts.
+    goes = materialize(marked.where("NOT kept").select("doc_id").distinct(), "goes")
+    twice = materialize(marked.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    once = docs.join(goes.union(twice), "doc_id", "left_anti")
+    named = once.where("doc_id IS NOT NULL")
+    again = docs.join(twice, "doc_id", "left_semi").join(goes, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(nameless).select(*COLUMNS)
+    return named.unionByName(again).unionByName(nameless).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
