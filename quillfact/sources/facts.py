@@ -25,7 +25,7 @@ def _parsed(line: str) -> tuple | None:
         return None
     name, args = got
     for v in args:
-        if v.order is not None and (v.order != v.order.__round__(18) or abs(v.order) >= 10**20):
+        if v.order is not None and (v.order.as_tuple().exponent < -18 or v.order.adjusted() >= 20):
             return None, None, None, f"{v.text} needs more than 20 digits before or 18 after the point", line
     return name, len(args), [{"t": v.type, "c": v.text, "o": v.order} for v in args], None, line
 
