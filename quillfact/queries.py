@@ -8,6 +8,7 @@ that other engines' results compare.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +44,25 @@ PREDICATES = {
 }
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """All predicates of the tables in a folder; nothing is read yet but schemas."""
+#: predicates that hold the facts of others
+UNIONS = {"measure": ["event_value", "event_type"]}
+
+
+def catalog(spark: SparkSession, sf_dir: str, text: str | None = None) -> Catalog:
+    """Predicates of the tables in a folder, those that a query text names or all;
+    nothing is read yet but schemas."""
     out, tables = Catalog(spark), {}
+    named = set(re.findall(r"\b([a-z0-9_]+)\(", text)) if text is not None else {*PREDICATES, *UNIONS}
+    wanted = named.union(*(parts for u, parts in UNIONS.items() if u in named))
     for name, (table, columns, kinds, repeats) in PREDICATES.items():
+        if name not in wanted:
+            continue
         df = tables.get(table)
         if df is None:
             df = tables[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         out.register(name, df, columns, kinds, distinct=repeats)
-    out.union("measure", ["event_value", "event_type"])
+    for name in named & UNIONS.keys():
+        out.union(name, UNIONS[name])
     return out
 
 
@@ -178,27 +189,28 @@ TEXTS: dict[str, tuple[str, str]] = {
 
 def _text_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(Engine(catalog(spark, sf_dir)).query(TEXTS[name][0]))
+        text = TEXTS[name][0]
+        return shown(Engine(catalog(spark, sf_dir, text)).query(text))
 
     return run
 
 
 def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of a predicate by position and type."""
-    return catalog(spark, sf_dir).manifest("nation")
+    return catalog(spark, sf_dir, "nation(").manifest("nation")
 
 
 def manifest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).manifest("measure").select("position", "type", "count", "distinct_count")
+    return catalog(spark, sf_dir, "measure(").manifest("measure").select("position", "type", "count", "distinct_count")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty facts, those with the least ids."""
-    return catalog(spark, sf_dir).predicates["nation"].sample(20).select(F.col("a0").alias("N"), F.col("a1").alias("Name"), F.col("a2").alias("R"))
+    return catalog(spark, sf_dir, "nation(").predicates["nation"].sample(20).select(F.col("a0").alias("N"), F.col("a1").alias("Name"), F.col("a2").alias("R"))
 
 
 def fact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = catalog(spark, sf_dir).predicates["customer_segment"]
+    p = catalog(spark, sf_dir, "customer_segment(").predicates["customer_segment"]
     return p.with_ids().select(F.col("a0").alias("C"), F.col("a1").alias("S"), "fact_id")
 
 
@@ -206,7 +218,7 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows as typed JSON, unbound variables null."""
     from .operators.relation import as_json
 
-    engine = Engine(catalog(spark, sf_dir))
+    engine = Engine(catalog(spark, sf_dir, "region(nation("))
     query, _ = engine.parse("find R, N\nwhere\n  region(R, N)\n  optional\n    nation(R, N, _)", "dsl")
     return as_json(engine.relation(query), True)
 
@@ -253,7 +265,7 @@ order by Name ascending, Segment, Order
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join, optional, not and order in one query."""
-    return shown(Engine(catalog(spark, sf_dir)).query(FLAGSHIP))
+    return shown(Engine(catalog(spark, sf_dir, FLAGSHIP)).query(FLAGSHIP))
 
 
 FLAGSHIP_SQL = """
