@@ -90,7 +90,9 @@ def near_links(fps: DataFrame) -> DataFrame:
         unit = F.lit(1 << (4 * s)).cast("long")
         moves.append(F.when(count < 4, F.struct((p + unit).alias("cell"), F.lit(s).alias("seg"), F.lit(1).alias("step"))))
         moves.append(F.when(count > 0, F.struct((p - unit).alias("cell"), F.lit(s).alias("seg"), F.lit(-1).alias("step"))))
-    placed = fps.select("fp", _segment_counts(fp).alias("p")).select("fp", F.explode(F.filter(F.array(*moves), lambda m: m.isNotNull())).alias("m")).select("fp", "m.*")
+    # each small row becomes 33: deal them out first, as the small table is read in few partitions
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    placed = dealt.select("fp", _segment_counts(fp).alias("p")).select("fp", F.explode(F.filter(F.array(*moves), lambda m: m.isNotNull())).alias("m")).select("fp", "m.*")
     shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
     left = placed.join(shared, "cell")
     # the values of this cell at most one bit away: itself, or one bit of the moved segment flipped
@@ -115,7 +117,7 @@ def _bit(fp, at):
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, component_id (least doc_id reachable), kept."""
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     comp = connected_components(near_links(distinct.select("fp")))
     of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
     of = materialize(of, "classes")
