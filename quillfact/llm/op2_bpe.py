@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, pick, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 150_000  # words remembered by a worker; beyond it the memory is emptied
+CACHE = 300_000  # words remembered by a worker; beyond it the memory is emptied
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the expression doesn't
 
@@ -175,7 +175,7 @@ class Codec:
 
     def _plain(self, text: str) -> list[bytes]:
         auto = self.automaton
-        for kept, most in ((self.memory, CACHE), (self.known, CACHE), (auto.ends, 3 * CACHE), (auto.table, 3 * CACHE)):
+        for kept, most in ((self.memory, CACHE), (self.known, CACHE), (auto.ends, 2 * CACHE), (auto.table, 2 * CACHE)):
             if len(kept) > most:
                 kept.clear()
         memory, out = self.memory, []
