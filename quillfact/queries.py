@@ -60,7 +60,7 @@ def catalog(spark: SparkSession, sf_dir: str, text: str | None = None) -> Catalo
         df = tables.get(table)
         if df is None:
             df = tables[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        out.register(name, df, columns, kinds, distinct=repeats)
+        out.register(name, df, columns, kinds, distinct=repeats, complete=True)  # these tables have no nulls
     for name in named & UNIONS.keys():
         out.union(name, UNIONS[name])
     return out

@@ -77,13 +77,15 @@ class Catalog:
     def clear(self) -> None:
         self.predicates.clear()
 
-    def register(self, name: str, df: DataFrame, columns: list[str] | None = None, kinds: dict[str, str] | None = None, distinct: bool = True) -> Predicate:
+    def register(self, name: str, df: DataFrame, columns: list[str] | None = None, kinds: dict[str, str] | None = None, distinct: bool = True, complete: bool = False) -> Predicate:
         """Make a predicate of columns of a DataFrame.
 
         ``kinds`` gives value types by column where the Spark type does not tell
         (whole numbers are integers, other numbers decimals, strings strings).
-        Rows with a null are no facts.  Facts are a set: pass ``distinct=False``
-        only for rows known to be distinct, which saves a shuffle.
+        Rows with a null are no facts; pass ``complete=True`` only for columns known
+        to have none, so that columns a query does not need are not read for the test.
+        Facts are a set: pass ``distinct=False`` only for rows known to be distinct,
+        which saves a shuffle.
         """
         columns, kinds = columns or df.columns, kinds or {}
         found, cols = [], []
@@ -95,7 +97,9 @@ class Catalog:
                 raise CatalogError(f"{name}: no value type for column {c} of type {source}")
             found.append(kind)
             cols.append(_cast(F.col(f"`{c}`"), kind, source).alias(f"a{i}"))
-        out = df.select(*cols).na.drop("any")
+        for c in () if complete else columns:
+            df = df.where(F.col(f"`{c}`").isNotNull())
+        out = df.select(*cols)
         return self._put(name, out.distinct() if distinct else out, tuple(found), tuple(frozenset((k,)) for k in found))
 
     def union(self, name: str, parts: list[str]) -> Predicate:
