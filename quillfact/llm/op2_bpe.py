@@ -50,6 +50,8 @@ from .common import arrow_map, pick, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHE = 300_000  # words remembered by a worker; beyond it the memory is emptied
+KEPT = 100  # characters of the longest word that is remembered
+SHARED = 48  # symbols of the longest word whose prefixes' states are remembered
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the expression doesn't
 
@@ -108,32 +110,39 @@ class Automaton:
             else:  # a is a copy of the state after its second part, before the split
                 a, step = self.second[a], born[a] - 1
 
-    def step(self, read: str, ends: dict[str, int], suffix: str = "") -> int:
-        """The state after the symbols ``read`` (one character each), the last with ``suffix``.
+    def step(self, symbols: str, i: int, state, suffix: str = "") -> int:
+        """The state after the first ``i`` symbols (one character each), the last with ``suffix``.
 
-        ``ends`` gives the states of all shorter prefixes: the token sought is the
-        one that ends here and whose arc leaves the state where it starts.
+        ``state(j)`` gives the state after j of them: the token sought is the one
+        that ends here and whose arc leaves the state where it starts.
         """
-        label_id, born, n = self.ids.get, self.born, len(read)
-        for j in range(n - 1, max(-1, n - 1 - self.longest), -1):
-            t = label_id(read[j:] + suffix)
+        label_id, born = self.ids.get, self.born
+        for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
+            t = label_id(symbols[j:i] + suffix)
             # a label of several symbols that spells a base symbol is not its arc
-            if t is not None and (born[t] or j == n - 1) and (self.arc(ends[read[:j]], t) if j else self.alive[t]):
+            if t is not None and (born[t] or j == i - 1) and (self.arc(state(j), t) if j else self.alive[t]):
                 return t
-        raise ValueError(f"no token ends at {read + suffix!r}")
+        raise ValueError(f"no token ends at {symbols[max(0, i - 40) : i] + suffix!r}")
 
     def encode(self, symbols: str, suffix: str = "") -> list[int]:
         """Token ids of a word of base symbols, one character each, the last with ``suffix``."""
-        ends, n = self.ends, len(symbols)
-        k = n - 1
-        while k > 0 and symbols[:k] not in ends:
-            k -= 1
-        for i in range(k + 1, n):
-            ends[symbols[:i]] = self.step(symbols[:i], ends)
-        t = self.step(symbols, ends, suffix)
+        n = len(symbols)
+        if n <= SHARED:
+            ends, k = self.ends, n - 1
+            state = lambda j: ends[symbols[:j]]
+            while k > 0 and symbols[:k] not in ends:
+                k -= 1
+            for i in range(k + 1, n):
+                ends[symbols[:i]] = self.step(symbols, i, state)
+        else:  # a long word's prefixes are not worth keeping
+            own = [-1]
+            state = own.__getitem__
+            for i in range(1, n):
+                own.append(self.step(symbols, i, state))
+        t = self.step(symbols, n, state, suffix)
         out, at = [t], n - len(self.label[t]) + len(suffix)
         while at:
-            t = ends[symbols[:at]]
+            t = state(at)
             out.append(t)
             at -= len(self.label[t])
         return out[::-1]
@@ -162,7 +171,9 @@ class Codec:
     def _word(self, word: str) -> bytes:
         if (got := self.known.get(word)) is None:
             symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.byte[b] for b in word.encode("utf-8", "surrogatepass")])
-            got = self.known[word] = array("I", self.automaton.encode(symbols, self.suffix)).tobytes()
+            got = array("I", self.automaton.encode(symbols, self.suffix)).tobytes()
+            if len(word) <= KEPT:
+                self.known[word] = got
         return got
 
     def _spaced(self, chunk: str) -> bytes:
@@ -181,7 +192,9 @@ class Codec:
         memory, out = self.memory, []
         for chunk in SPACE.split(text) if ODD_SPACE.search(text) else text.split():
             if (got := memory.get(chunk)) is None:
-                got = memory[chunk] = self._spaced(chunk)
+                got = self._spaced(chunk)
+                if len(chunk) <= KEPT:
+                    memory[chunk] = got
             out.append(got)
         return out
 

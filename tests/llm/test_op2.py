@@ -59,6 +59,8 @@ def test_equals_library(lib):
         e = lib.encode(t, add_special_tokens=False).ids
         assert c.encode(t).tolist() == e, repr(t)
         assert c.decode(e) == lib.decode(e, skip_special_tokens=False)
+    for t in ("x" * 60_000, "ab1" * 9000, "é" * 5000 + " a", "thequickbrownfox" * 40 + "'s"):
+        assert c.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t[:20]
     rng = random.Random(2)
     chars = "abcdefghijklmnopqrstuvwxyzéüßñ'.,!#0123 \n\tΣİ日😀́"
     for _ in range(3000):
