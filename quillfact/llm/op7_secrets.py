@@ -42,7 +42,8 @@ PATTERNS = {
     "hex": re.compile(r"[0-9a-f]+"),
     "github": re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "npm": re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # headers are short; the bound keeps a long run of hits without a dot from being read again and again
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{1,4096}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 }
 KEYWORDS = {

@@ -47,6 +47,12 @@ def test_checksummed_tokens():
     assert find("-----BEGIN RSA PRIVATE KEY-----")[0][0] == "pem"
 
 
+def test_long_runs_of_hits_end():
+    find = m.Scanner()
+    assert find("eyJ" * 60_000) == [] and find("-----BEGIN " * 20_000) == [] and len(find("token=" * 20_000 + "abcdef")) == 1
+    assert base(find("ab" * 100_000)) == [("hex", 0, 200_000)]
+
+
 def test_redaction_leaves_nothing():
     find = m.Scanner()
     t = "a password = hunter22 b " + "0f" * 20 + " c token: " + "ab" * 20
