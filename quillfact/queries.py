@@ -97,13 +97,13 @@ TEXTS: dict[str, tuple[str, str]] = {
     "cmp_gt": ("part_size(P, S), S > 40", "SELECT p_partkey P, CAST(p_size AS BIGINT) S FROM part WHERE p_size > 40"),
     "cmp_ge": ("part_size(P, S), 40 <= S", "SELECT p_partkey P, CAST(p_size AS BIGINT) S FROM part WHERE p_size >= 40"),
     "cmp_literals": ("region(R, N), 1 < 2.5", "SELECT CAST(r_regionkey AS BIGINT) R, r_name N FROM region"),
-    "conjunction": ("part(P, _, B, _, S, V), S >= 10, S < 20, V > 1000, B != \"Brand#11\"", "SELECT p_partkey P, p_brand B, CAST(p_size AS BIGINT) S, p_retailprice V FROM part WHERE p_size >= 10 AND p_size < 20 AND p_retailprice > 1000 AND p_brand <> 'Brand#11'"),
+    "conjunction": ("part(P, _, B, _, S, V), S >= 10, S < 20, V > 950, B != \"Brand#11\"", "SELECT p_partkey P, p_brand B, CAST(p_size AS BIGINT) S, p_retailprice V FROM part WHERE p_size >= 10 AND p_size < 20 AND p_retailprice > 950 AND p_brand <> 'Brand#11'"),
     "between_date": ("order_date(O, D), D between @1995-03-01 and @1995-08-31", "SELECT o_orderkey O, strftime(o_orderdate, '%Y-%m-%d') D FROM orders WHERE o_orderdate BETWEEN DATE '1995-03-01' AND DATE '1995-08-31'"),
     "range_instant": ("event(E, T, U, _, _), T >= @2024-01-05T00:00:00Z, T < @2024-01-09T12:00:00+02:00", "SELECT event_id E, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') T, user_id U FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-09 10:00:00'"),
     "year_int_promotion": ("order_year(O, Y), Y >= 1996", "SELECT o_orderkey O, CAST(year(o_orderdate) AS INTEGER) Y FROM orders WHERE year(o_orderdate) >= 1996"),
     "year_equals_integer": ("order_year(O, Y), Y = 1996", "SELECT o_orderkey O, CAST(year(o_orderdate) AS INTEGER) Y FROM orders WHERE FALSE"),
     "year_month_range": ("order_month(O, M), M between @1996-11 and @1997-02", "SELECT o_orderkey O, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) M FROM orders WHERE year(o_orderdate) * 100 + month(o_orderdate) BETWEEN 199611 AND 199702"),
-    "int_decimal_promotion": ("part_price(P, V), V >= 1500", "SELECT p_partkey P, p_retailprice V FROM part WHERE p_retailprice >= 1500"),
+    "int_decimal_promotion": ("part_price(P, V), V >= 950", "SELECT p_partkey P, p_retailprice V FROM part WHERE p_retailprice >= 950"),
     "decimal_equals_integer": ("part_size(P, S), S != 5.0, S <= 5.0", "SELECT p_partkey P, CAST(p_size AS BIGINT) S FROM part WHERE p_size <= 5"),
     "join_equi": ("customer_nation(C, N), nation(N, Name, R)", "SELECT c_custkey C, CAST(n_nationkey AS BIGINT) N, n_name Name, CAST(n_regionkey AS BIGINT) R FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "join_multikey": (
@@ -161,8 +161,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT N, coalesce(a.S, x.S) S, x.C FROM (SELECT CAST(n_nationkey AS BIGINT) N, s_suppkey S FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 20 WHERE n_regionkey = 1) a LEFT JOIN (SELECT p.c_nationkey k, p.c_custkey S, q.c_custkey C FROM customer p JOIN customer q ON p.c_nationkey = q.c_nationkey AND q.c_custkey < 40) x ON k = N AND (a.S IS NULL OR a.S = x.S)",
     ),
     "not_anti": (
-        "find C, Name\nwhere\n  customer(C, Name, _, _, _)\n  not\n    order_customer(_, C)",
-        "SELECT c_custkey C, c_name Name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "find C, Name\nwhere\n  customer(C, Name, N, _, _)\n  not\n    customer_nation(C, N)\n    nation(N, _, 2)",
+        "SELECT c_custkey C, c_name Name FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 2)",
     ),
     "not_correlated_filter": (
         'find R\nwhere\n  region(R, N)\n  R >= 0\n  not\n    nation(_, _, R)\n    R > 2',

@@ -8,7 +8,7 @@ import pytest
 
 from quillfact import queries as Q
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
