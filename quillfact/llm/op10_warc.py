@@ -296,3 +296,17 @@ def _mended(spark: SparkSession, files: list[str], cut: DataFrame, true: DataFra
 
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, write(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_path(spark, "warc")))
+
+
+ORACLE_SQL = r"""
+WITH rows AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, coalesce(html, '') AS html FROM pages),
+hashed AS (
+  SELECT *, strlen(html) AS payload_bytes, CAST(CAST(from_hex(sha1(html)) AS BIT) AS VARCHAR) AS bits,
+    row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS k, min(page_id) OVER (PARTITION BY html) AS least
+  FROM rows)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INT), 1) AS INT) * (16 >> CAST(j AS INT)))) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to
+FROM hashed
+"""

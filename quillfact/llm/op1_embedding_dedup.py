@@ -259,3 +259,29 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Brute force: all pairs of distinct vectors of a label.
+ORACLE_SQL = r"""
+WITH RECURSIVE
+v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    coalesce(label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0, false) AS able
+  FROM embeddings),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, label, e, len(e) AS dim, sqrt(list_inner_product(e, e)) AS norm, count(*) AS weight, min(vec_id) AS least
+  FROM v WHERE able GROUP BY label, e),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, b.weight FROM d a JOIN d b ON a.label = b.label AND a.dim = b.dim AND a.r <> b.r
+  WHERE CASE WHEN a.dim = b.dim THEN list_inner_product(a.e, b.e) / a.norm / b.norm >= 0.98 END),
+reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a, min(least) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+counts AS (SELECT a, CAST(sum(weight) AS BIGINT) AS n FROM links GROUP BY a),
+classes AS (
+  SELECT label, e, weight - 1 + coalesce(n, 0) AS n_links, CASE WHEN named.a IS NULL THEN least ELSE component_id END AS component_id
+  FROM d LEFT JOIN named ON named.a = d.r LEFT JOIN counts ON counts.a = d.r)
+SELECT v.vec_id, coalesce(c.n_links, 0) AS n_links, CASE WHEN able THEN c.component_id ELSE v.vec_id END AS component_id,
+  coalesce(v.vec_id = CASE WHEN able THEN c.component_id ELSE v.vec_id END, false) AS kept
+FROM v LEFT JOIN classes c ON able AND c.label = v.label AND c.e = v.e
+"""
