@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ class Predicate:
     df: DataFrame
     kinds: tuple[str, ...]
     types: tuple[frozenset, ...]
+    home: str | None = None  # folder of a store that holds exactly these facts
 
     @property
     def arity(self) -> int:
@@ -117,8 +120,8 @@ class Catalog:
         apart = any(not frozenset.intersection(*(p.types[i] for p in ps)) for i in range(len(kinds)))
         return self._put(name, out if apart else out.distinct(), kinds, types)
 
-    def _put(self, name, df, kinds, types) -> Predicate:
-        self.predicates[name] = p = Predicate(name, df, kinds, types)
+    def _put(self, name, df, kinds, types, home=None) -> Predicate:
+        self.predicates[name] = p = Predicate(name, df, kinds, types, home)
         return p
 
     # -- facts as text ----------------------------------------------------------------
@@ -164,8 +167,17 @@ class Catalog:
         return self.add_facts(text.from_lines(self.spark, [lines] if isinstance(lines, str) else list(lines)))
 
     def load_file(self, path: str) -> dict[str, str]:
-        """Add the facts of a text file, each under the predicate its line names."""
-        return self.add_facts(text.read_facts(self.spark, path))
+        """Add the facts of a text file, each under the predicate its line names.
+
+        With a shared folder (``spark.checkpoint.dir``) the text is parsed once, into
+        one folder a predicate there; otherwise each use of a predicate parses it.
+        """
+        parsed = text.read_facts(self.spark, path)
+        if shared := self.spark.conf.get("spark.checkpoint.dir", None):
+            staged = f"{shared.rstrip('/')}/quillfact-facts-{uuid.uuid4().hex}"
+            parsed.write.partitionBy("predicate").parquet(staged)
+            parsed = self.spark.read.schema(text.PARSED).parquet(staged)
+        return self.add_facts(parsed)
 
     def compile_folder(self, folder: str) -> dict[str, str]:
         """A fresh catalog of the predicate files of a folder, each under its file's name."""
@@ -178,21 +190,52 @@ class Catalog:
     # -- the store --------------------------------------------------------------------
 
     def save(self, path: str) -> None:
-        """One Parquet folder per predicate, sorted within partitions so that row
-        groups have narrow ranges to skip by, and a table of their schemas."""
-        rows = [(p.name, json.dumps({"kinds": p.kinds, "types": [sorted(t) for t in p.types]})) for p in self.predicates.values()]
-        for p in self.predicates.values():
-            order = [c for c, k in zip(p.df.columns, p.kinds)]
-            (p.df.sortWithinPartitions(*order) if order else p.df).write.mode("overwrite").parquet(f"{path}/facts/{p.name}")
-        self.spark.createDataFrame(rows, "name string, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schemas")
+        """Add a version to the store in the folder ``path``.
+
+        Each predicate goes to a Parquet folder of its own, sorted within partitions
+        so that row groups have narrow ranges to skip by; one that the store holds
+        as it is keeps its folder.  The schemas, written last, make the version:
+        readers see the old one until then, and no folder is ever rewritten, so a
+        store can be saved to while it is read, also by this catalog.  Two writers at
+        once get one version; the other fails.
+        """
+        path, rows = path.rstrip("/"), [("", "{}")]  # a version without predicates has a row too
+        version = (self._last(self.spark, path) or 0) + 1
+        for p in list(self.predicates.values()):
+            home = p.home
+            if home is None or not home.startswith(f"{path}/facts/"):
+                home = f"{path}/facts/{p.name}-{uuid.uuid4().hex}"
+                (p.df.sortWithinPartitions(*p.df.columns) if p.arity else p.df.select(F.lit(True).alias("holds"))).write.parquet(home)
+                self._read(p.name, home, p.kinds, p.types)
+            schema = {"kinds": p.kinds, "types": [sorted(t) for t in p.types], "folder": home.removeprefix(f"{path}/facts/")}
+            rows.append((p.name, json.dumps(schema)))
+        self.spark.createDataFrame(rows, "name string, schema string").coalesce(1).write.parquet(f"{path}/schemas/version={version}")
+
+    @staticmethod
+    def _last(spark: SparkSession, path: str) -> int | None:
+        """Number of the last version of a store, None if there is none."""
+        try:
+            found = spark.read.schema("name string, schema string, version long").parquet(f"{path}/schemas")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return found.agg(F.max("version")).first()[0]
+
+    def _read(self, name: str, home: str, kinds: tuple, types: tuple) -> Predicate:
+        ddl = ", ".join(f"a{i} {sql_type(k)}" for i, k in enumerate(kinds))
+        df = self.spark.read.schema(ddl or "holds boolean").parquet(home)  # Parquet has no files without columns
+        return self._put(name, df if kinds else df.select(), kinds, types, home)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
-        out = cls(spark)
-        for r in spark.read.parquet(f"{path}/schemas").collect():
+        """The last version of the store in the folder ``path``."""
+        path, out = path.rstrip("/"), cls(spark)
+        if (version := cls._last(spark, path)) is None:
+            raise CatalogError(f"no store in {path}")
+        for r in spark.read.parquet(f"{path}/schemas/version={version}").where("name <> ''").collect():
             s = json.loads(r["schema"])
-            ddl = ", ".join(f"a{i} {sql_type(k)}" for i, k in enumerate(s["kinds"]))
-            out._put(r["name"], spark.read.schema(ddl).parquet(f"{path}/facts/{r['name']}"), tuple(s["kinds"]), tuple(map(frozenset, s["types"])))
+            out._read(r["name"], f"{path}/facts/{s['folder']}", tuple(s["kinds"]), tuple(map(frozenset, s["types"])))
         return out
 
     # -- statistics -------------------------------------------------------------------

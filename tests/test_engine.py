@@ -9,6 +9,7 @@ from quillfact.operators.relation import QueryError, as_json
 from quillfact.plans import ast as A
 from quillfact.plans import parse as P
 from quillfact.plans.validate import InvalidQuery
+from quillfact.sources.catalog import Catalog, CatalogError
 
 ART = """created(tina_keane, she).
 created(lynn_hershman, lorna).
@@ -167,6 +168,27 @@ def test_loading_and_store(spark, tmp_path):
     assert [o.status for _, o in e.run_file(str(tmp_path / "q.txt"))] == ["ok", "invalid"]
 
 
+def test_saving_to_the_store_that_is_read(spark, tmp_path):
+    store = str(tmp_path / "store")
+    with pytest.raises(CatalogError):
+        Catalog.open(spark, store)
+    first = Catalog(spark)
+    first.save(store)
+    assert not Catalog.open(spark, store).predicates
+    first.add_lines("p(a, 1).\np(b, 2).\nq(x).\nflag().\nflag().")
+    first.save(store)
+    reader, writer = Engine(Catalog.open(spark, store)), Catalog.open(spark, store)
+    (tmp_path / "more.pl").write_text("p(b, 2).\np(c, 3).\nz(k).\nz(\nmore7(a).\n")
+    assert writer.load_file(str(tmp_path / "more.pl")) == {"more7": "written", "p": "written", "z": "written"}
+    writer.save(store)
+    assert reader.query("p(X, Y)").count() == 2  # what was opened stays as it was
+    last = Engine(Catalog.open(spark, store))
+    assert sorted(r.Y for r in last.query("p(X, Y)").collect()) == [1, 2, 3]
+    assert [last.query(f"{p}(X)").count() for p in ("q", "z", "more7")] == [1, 1, 1]
+    assert last.catalog.predicates["flag"].df.count() == 1
+    assert last.catalog.predicates["q"].home == reader.catalog.predicates["q"].home  # not written again
+
+
 def test_manifest(engine):
     got = {(r.position, r.type): (r["count"], r.distinct_count, r.min, r.max) for r in engine.catalog.manifest("n").collect()}
     assert got == {(0, "atom"): (3, 3, None, None), (1, "integer"): (3, 3, "-5", "5")}
