@@ -17,6 +17,8 @@ HELP = """:predicates  :environment  :describe NAME  :explain QUERY  :validate
 :core  :dsl  :auto  :load FILE  :loadfacts FILE  :loadqueries FILE  :help  :quit
 Queries of several lines and :validate end with an empty line."""
 
+SHOWN = 20  # lines of a file that are said to be no facts; ``Catalog.problems`` has all
+
 
 def _show(out) -> str:
     if out.status == "failed":
@@ -24,6 +26,15 @@ def _show(out) -> str:
     return json.dumps(out.body, indent=2, ensure_ascii=False)
 
 
+def _told(catalog: Catalog, said: dict[str, str], say) -> None:
+    """Say what became of loaded facts, with the first lines that are none."""
+    for name, what in said.items():
+        say(f"{name}: {what}")
+    for path, bad in catalog.problems.items():
+        for r in bad.limit(SHOWN).collect():
+            say(f"{path}: skipped {r['line']} ({r['problem']})")
+
+
 class Repl:
     """Reads commands and queries from an iterator of lines."""
 
@@ -44,8 +55,8 @@ class Repl:
     def _file(self, path: str, kind: str) -> None:
         try:
             if kind == "facts":
-                for name, said in self.engine.catalog.load_file(path).items():
-                    self.say(f"{name}: {said}")
+                said = self.engine.catalog.load_file(path)
+                _told(self.engine.catalog, said or {path: "no facts"}, self.say)
                 return
             with open(path, encoding="utf-8") as f:
                 queries = [s.strip() for s in f if s.strip() and s.strip()[0] not in "%#"]
@@ -122,8 +133,7 @@ def main(argv: list[str] | None = None) -> int:
         catalog = Catalog(spark)
         said = catalog.compile_folder(given.source)
         catalog.save(given.store)
-        for name, what in said.items():
-            print(f"{name}: {what}")
+        _told(catalog, said, print)
         return int(any("mismatch" in what for what in said.values()))
     engine = Engine(Catalog.open(spark, given.store), Limits.load(given.config) if given.config else None)
     if given.command == "query":

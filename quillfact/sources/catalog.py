@@ -70,6 +70,8 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.predicates: dict[str, Predicate] = {}
+        #: file -> its lines that look like facts and are none (line, problem), of the last loading
+        self.problems: dict[str, DataFrame] = {}
 
     def __contains__(self, name: str) -> bool:
         return name in self.predicates
@@ -138,10 +140,12 @@ class Catalog:
             got = got.withColumn("predicate", F.lit(name))
         # one row per predicate, arity, position and type: the schema, not data
         wide = F.col("arg.t").isin("date", "instant") & ~F.when(F.col("arg.t") == "date", text.fits_native(F.col("arg.o"), "date")).otherwise(text.fits_native(F.col("arg.o"), "instant"))
-        shape = got.select("predicate", "arity", F.posexplode_outer("args").alias("pos", "arg")).groupBy("predicate", "arity", "pos", "arg.t").agg(F.max(F.coalesce(wide, F.lit(False))).alias("wide"))
+        shape = got.select("predicate", "arity", F.posexplode_outer("args").alias("pos", "arg")).groupBy("predicate", "arity", "pos", "arg.t").agg(F.max(F.coalesce(wide, F.lit(False))).alias("wide"), F.count("*").alias("n"))
         by: dict[str, dict[int, list]] = {}
+        sizes: dict[str, int] = {}
         for r in shape.orderBy("predicate", "arity", "pos", "t").collect():
             by.setdefault(r["predicate"], {}).setdefault(r["arity"], []).append((r["pos"], r["t"], r["wide"]))
+            sizes[r["predicate"]] = sizes.get(r["predicate"], 0) + (0 if r["pos"] else r["n"])
         said = {}
         for p, arities in by.items():
             old = self.get(p)
@@ -160,31 +164,38 @@ class Catalog:
             df = df.dropDuplicates([f"a{i}" for i in range(n)]) if n else df.limit(1)
             self._put(p, df.select(*[from_struct(F.col(f"a{i}"), k).alias(f"a{i}") for i, k in enumerate(kinds)]), kinds, types)
             mixed = [i for i in range(n) if len(types[i]) > 1]
-            said[p] = "written" + (f"; several types at position {', '.join(map(str, mixed))}" if mixed else "")
+            said[p] = f"written, {sizes[p]} facts" + (f"; several types at position {', '.join(map(str, mixed))}" if mixed else "")
         return said
 
     def add_lines(self, lines) -> dict[str, str]:
         return self.add_facts(text.from_lines(self.spark, [lines] if isinstance(lines, str) else list(lines)))
 
-    def load_file(self, path: str) -> dict[str, str]:
-        """Add the facts of a text file, each under the predicate its line names.
+    def _read_text(self, path: str, by_predicate: bool) -> DataFrame:
+        """Parsed facts of a text file; its other lines go to ``problems``.
 
         With a shared folder (``spark.checkpoint.dir``) the text is parsed once, into
-        one folder a predicate there; otherwise each use of a predicate parses it.
+        Parquet there (one folder a predicate if asked for); otherwise by each use.
         """
         parsed = text.read_facts(self.spark, path)
         if shared := self.spark.conf.get("spark.checkpoint.dir", None):
             staged = f"{shared.rstrip('/')}/quillfact-facts-{uuid.uuid4().hex}"
-            parsed.write.partitionBy("predicate").parquet(staged)
+            parsed.write.partitionBy(*["predicate"] * by_predicate).parquet(staged)
             parsed = self.spark.read.schema(text.PARSED).parquet(staged)
-        return self.add_facts(parsed)
+        self.problems[path] = parsed.where("problem IS NOT NULL").select("line", "problem")
+        return parsed
+
+    def load_file(self, path: str) -> dict[str, str]:
+        """Add the facts of a text file, each under the predicate its line names."""
+        self.problems.clear()
+        return self.add_facts(self._read_text(path, True))
 
     def compile_folder(self, folder: str) -> dict[str, str]:
         """A fresh catalog of the predicate files of a folder, each under its file's name."""
         self.clear()
+        self.problems.clear()
         said = {}
         for name, path in text.list_predicates(folder).items():
-            said |= self.add_facts(text.read_facts(self.spark, path), name) or {name: "no facts"}
+            said |= self.add_facts(self._read_text(path, False), name) or {name: "no facts"}
         return said
 
     # -- the store --------------------------------------------------------------------

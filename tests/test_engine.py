@@ -150,7 +150,7 @@ def test_loading_and_store(spark, tmp_path):
     (folder / "q").write_text("q(a).\nq(a, b).\n")
     (folder / "README.md").write_text("no(a).")
     e = Engine.of(spark)
-    assert e.catalog.compile_folder(str(tmp_path / "data")) == {"p": "written; several types at position 1", "q": "arity mismatch, not written"}
+    assert e.catalog.compile_folder(str(tmp_path / "data")) == {"p": "written, 4 facts; several types at position 1", "q": "arity mismatch, not written"}
     assert e.query("p(X, Y)").count() == 3
     e.catalog.add_lines('r(a, @10000-01-01).\nr(b, @2020-01-01).\nt("x, \\"y\\"\\n", "v"@de, <a:b>, 2.0, @-5-01).')
     assert e.query("r(X, D), D > @2021-01-01").count() == 1 and e.query("r(X, @10000-01-01)").count() == 1
@@ -179,7 +179,8 @@ def test_saving_to_the_store_that_is_read(spark, tmp_path):
     first.save(store)
     reader, writer = Engine(Catalog.open(spark, store)), Catalog.open(spark, store)
     (tmp_path / "more.pl").write_text("p(b, 2).\np(c, 3).\nz(k).\nz(\nmore7(a).\n")
-    assert writer.load_file(str(tmp_path / "more.pl")) == {"more7": "written", "p": "written", "z": "written"}
+    assert writer.load_file(str(tmp_path / "more.pl")) == {"more7": "written, 1 facts", "p": "written, 2 facts", "z": "written, 1 facts"}
+    assert [r.line for r in writer.problems[str(tmp_path / "more.pl")].collect()] == ["z("]
     writer.save(store)
     assert reader.query("p(X, Y)").count() == 2  # what was opened stays as it was
     last = Engine(Catalog.open(spark, store))
