@@ -11,7 +11,8 @@ Tokens that embed a checksum are then validated by it.
 Kinds, in the order of ties: the base kinds ``assign``, ``access``, ``hex``;
 added ones ``github`` and ``npm`` (prefix, 30 characters, then their CRC-32 in
 six base-62 digits), ``jwt`` (header that decodes to a JSON object with
-``alg``) and ``pem`` (private key header).  Spans are start and end (exclusive)
+``alg``) and ``pem`` (private key from its BEGIN to its END line; without an END
+line, to the end of the base64 that follows).  Spans are start and end (exclusive)
 in code points.
 
 Defined cases: null text is empty and has no span; very long texts are scanned
@@ -36,6 +37,17 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+_BEGIN = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+#: Base64, header lines, white space, and what quoting or a string literal puts around lines.
+_BODY = r"""(?:[A-Za-z0-9+/=]++|-(?!----)|:(?:(?!-----)[^\r\n\\])*+|[\s\\"'>|#*,;]++)*+"""
+_GAP = r"""(?:[\s"'>|#*,;]|\\[nrt])++"""
+#: Without an END line: known headers, long base64 words, and whole lines of base64.
+_OPEN_BODY = (
+    rf"(?:{_GAP}(?:[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]++|Comment|Version):[^\r\n\\]*+)*+"
+    rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]++={{1,2}})|"
+    r"""["']?(?:\r?\n|(?:\\r)?\\n)[\x20\t>"']*+[A-Za-z0-9+/]++={0,2}(?=[\x20\t"']*+(?:[\r\n\\]|\Z)))*+"""
+)
+
 PATTERNS = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
@@ -44,7 +56,7 @@ PATTERNS = {
     "npm": re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     # headers are short; the bound keeps a long run of hits without a dot from being read again and again
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{1,4096}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    "pem": re.compile(rf"{_BEGIN}(?:{_BODY}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|{_OPEN_BODY})"),
 }
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),

@@ -47,6 +47,27 @@ def test_checksummed_tokens():
     assert find("-----BEGIN RSA PRIVATE KEY-----")[0][0] == "pem"
 
 
+def test_private_keys_are_found_whole():
+    find = m.Scanner()
+    rng = random.Random(3)
+    line = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    body = "\n".join([*(line(48) for _ in range(20)), line(10)])
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    secret = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n" + body
+    for key in (f"{head}\n{body}\n{tail}", f"{head}\n{secret}\n{tail}", f"{head}\r\n{body}\r\n{tail}".replace("\n", "\r\n"), f"{head}\n{body}\n{tail}".replace("\n", "\\n"), f"{head} {body} {tail}".replace("\n", " "), f"{head}\n{body}\n{tail}".replace("\n", "\n> ")):
+        t = f"before it. {key} and (after) it."
+        assert ("pem", 11, 11 + len(key)) in find(t)
+        assert m.redact(t, find(t)) == "before it. [pem removed] and (after) it."
+    for cut in (body, secret):
+        t = f"a {head}\n{cut}\nThe text goes on, as before."
+        assert m.redact(t, find(t)) == "a [pem removed]\nThe text goes on, as before."
+    t = f"{head}\n{body[:500]}"
+    assert m.redact(t, find(t)) == "[pem removed]"
+    t = f"A file has {head} in front, which (as said) is a line. {head}\n{body}\n{tail} x"
+    assert m.redact(t, find(t)) == "A file has [pem removed] in front, which (as said) is a line. [pem removed] x"
+    assert len(find(f"{head}\n" * 20_000)) == 20_000 and len(find(head + "A" * 1_000_000)) == 1 and len(find((head + " a:") * 20_000)) == 20_000
+
+
 def test_long_runs_of_hits_end():
     find = m.Scanner()
     assert find("eyJ" * 60_000) == [] and find("-----BEGIN " * 20_000) == [] and len(find("token=" * 20_000 + "abcdef")) == 1
