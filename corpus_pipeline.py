@@ -8,13 +8,13 @@ and returns a DataFrame; all but the last return the columns of ``documents``.
   posterior under ``MIN_LANGUAGE_SCORE`` go; ``lang`` of the rest is the
   predicted language where it was null.
 * quality rules: documents that fail the base rule or the learned list go.
-* near-dedup: the document with the least id of each class stays; repeated rows
-  of that id count as one.
+* near-dedup: one row of each class stays, that with the least id; of several
+  rows of that id in the class, any one.
 * secret scans: found spans are replaced by a marker; ``n_chars`` follows.
 * packing: token pieces of at most 2048, their ids as unsigned 16-bit integers.
 
 Rows with a null id are kept by the first two stages and the scan; near-dedup
-keeps a class of null ids by one row per text.
+keeps one only in a class of null ids.
 """
 
 from __future__ import annotations
@@ -51,16 +51,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = materialize(op3_simhash.near_dedup(docs).where("doc_id IS NOT NULL"), "marked")
-    # Small tables of ids against the documents: written first, so that Catalyst
+    # equal rows have one key; where a null stands is part of it, as xxhash64 passes over nulls
+    keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    marked = materialize(op3_simhash.near_dedup(keyed, row_col="_row"), "marked")
+    # Small tables of keys against the documents: written first, so that Catalyst
     # knows their size, and broadcasts them if small instead of moving the texts.
-    goes = materialize(marked.where("NOT kept").select("doc_id").distinct(), "goes")
-    twice = materialize(marked.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    once = docs.join(goes.union(twice), "doc_id", "left_anti")
-    named = once.where("doc_id IS NOT NULL")
-    again = docs.join(twice, "doc_id", "left_semi").join(goes, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(again).unionByName(nameless).select(*COLUMNS)
+    key = [F.col("doc_id").alias("id"), F.col("row")]
+    goes = materialize(marked.where("NOT stands").select(*key).distinct(), "goes")
+    twice = materialize(marked.where("stands").select(*key).groupBy("id", "row").count().where("count > 1").select("id", "row"), "twice")
+
+    def join(keys, how):
+        return keyed.join(keys, (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), how)
+
+    once = join(goes.union(twice), "left_anti")
+    again = join(twice, "left_semi").dropDuplicates(["doc_id", "_row"])
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

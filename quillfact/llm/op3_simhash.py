@@ -54,16 +54,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None) -> DataFrame:
+    """(doc_id, fp) and columns ``keep`` (alias -> column): the fingerprint of each row as a signed 64-bit integer."""
+    keep = keep or {}
+    kinds = "".join(f", `{a}` {df.schema[c].dataType.simpleString()}" for a, c in keep.items())
 
     def start():
         def f(batch):
-            return [batch.column("doc_id"), np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)]
+            fps = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
+            return [batch.column("doc_id"), fps, *(batch.column(a) for a in keep)]
 
         return f
 
-    return arrow_map(pick(df, doc_id=id_col, text=text_col), f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long", start)
+    return arrow_map(pick(df, doc_id=id_col, text=text_col, **keep), f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long{kinds}", start)
 
 
 def _segment_counts(fp):
@@ -114,16 +117,27 @@ def _bit(fp, at):
     return F.call_function("shiftrightunsigned", fp, at).bitwiseAND(F.lit(1).cast("long"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (least doc_id reachable), kept."""
-    docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (least doc_id reachable), kept.
+
+    ``row_col`` tells rows of one id apart; with it there are also ``row`` (its value) and
+    ``stands``: whether the row is, or equals, the one that stands for its component, which
+    is the least by id, null last, then by ``row``.
+    """
+    docs = materialize(fingerprints(df, id_col, text_col, {"row": row_col} if row_col else None), "fingerprints")
+    least = {"least": F.min("doc_id")}
+    if row_col:
+        least["first"] = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    distinct = materialize(docs.groupBy("fp").agg(*[x.alias(a) for a, x in least.items()]), "distinct")
     comp = connected_components(near_links(distinct.select("fp")))
-    of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+    of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", *least, F.coalesce("comp", "fp").alias("comp"))
     of = materialize(of, "classes")
-    names = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = of.join(names, "comp").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    names = of.groupBy("comp").agg(*[F.min(a).alias(f"of_{a}") for a in least])
+    named = of.join(names, "comp").select("fp", F.col("of_least").alias("component_id"), *[f"of_{a}" for a in least if a == "first"])
+    kept = [F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")]
+    if row_col:
+        kept += ["row", (F.col("doc_id").eqNullSafe(F.col("of_first.doc_id")) & F.col("row").eqNullSafe(F.col("of_first.row"))).alias("stands")]
+    return docs.join(named, "fp").select("doc_id", "fp", "component_id", *kept)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,19 @@ def test_empty_and_null_rows(spark, tmp_path):
         for _, stage in cp.STAGES:
             cur = cp.materialize(stage(spark, cur, str(tmp_path)), "t")
         cur.count()
+
+
+def test_near_dedup_keeps_one_row_a_class(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("red", "blue", "green"))
+    rows = [(5, a), (5, b), (3, b), (5, c), (5, c), (7, c), (None, a), (None, "x y z"), (None, "X Y  z"), (None, "x y z"), (8, None), (8, None), (None, None)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, df, SF).collect()
+    key = lambda r: (str(r[0]), str(r[1]).lower().split())
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted([(5, a), (3, b), (5, c), (None, got_text(got)), (8, None)], key=key)
+    assert cp.near_dedup(spark, df.limit(0), SF).count() == 0
+
+
+def got_text(rows):
+    """The one text of several spellings that stayed."""
+    (text,) = [r.text for r in rows if r.doc_id is None]
+    return text
