@@ -11,7 +11,7 @@ Tokens that embed a checksum are then validated by it.
 Kinds, in the order of ties: the base kinds ``assign``, ``access``, ``hex``;
 added ones ``github`` and ``npm`` (prefix, 30 characters, then their CRC-32 in
 six base-62 digits), ``jwt`` (header that decodes to a JSON object with
-``alg``) and ``pem`` (private key from its BEGIN to its END line; without an END
+``alg``; of any length) and ``pem`` (private key from its BEGIN to its END line; without an END
 line, to the end of the base64 that follows).  Spans are start and end (exclusive)
 in code points.
 
@@ -35,6 +35,7 @@ from .common import arrow_map, pick, texts
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
+JWT = KINDS.index("jwt")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _BEGIN = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
@@ -54,10 +55,10 @@ PATTERNS = {
     "hex": re.compile(r"[0-9a-f]+"),
     "github": re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "npm": re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
-    # headers are short; the bound keeps a long run of hits without a dot from being read again and again
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{1,4096}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),  # what follows the header
     "pem": re.compile(rf"{_BEGIN}(?:{_BODY}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|{_OPEN_BODY})"),
 }
+RUN = re.compile(r"[A-Za-z0-9_-]*")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -78,11 +79,10 @@ def crc_digits(body: str) -> str:
     return out
 
 
-def _header_is_json(token: str) -> bool:
-    head = token.split(".", 1)[0]
+def _header_is_json(head: str) -> bool:
     try:
         got = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(got, dict) and "alg" in got
 
@@ -93,7 +93,7 @@ VALID = {
     "hex": lambda m: len(m[0]) >= 24,
     "github": lambda m: crc_digits(m[0][4:34]) == m[0][34:],
     "npm": lambda m: crc_digits(m[0][4:34]) == m[0][34:],
-    "jwt": lambda m: _header_is_json(m[0]),
+    "jwt": _header_is_json,
     "pem": lambda m: True,
 }
 
@@ -115,9 +115,20 @@ class Scanner:
         # lower-casing of A-Z alone keeps every position
         low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         end, out = [0] * len(KINDS), []
+        run, rest = 0, None  # the end of the token characters last read, and what follows them
         for at, (rank, back) in self.auto.iter(low):
             start = at - back
-            if start >= end[rank] and (m := self.match[rank](text, start)):
+            if rank == JWT:
+                if start < end[rank]:
+                    continue
+                if start >= run:
+                    run = RUN.match(text, start).end()
+                    rest = self.match[rank](text, run)
+                if rest and run - start > 3 and text.startswith("eyJ", start):
+                    end[rank] = rest.end()
+                    if self.valid[rank](text[start:run]):
+                        out.append((start, rank, rest.end()))
+            elif start >= end[rank] and (m := self.match[rank](text, start)):
                 end[rank] = m.end()
                 if self.valid[rank](m):
                     out.append((start, rank, m.end()))

@@ -68,6 +68,16 @@ def test_private_keys_are_found_whole():
     assert len(find(f"{head}\n" * 20_000)) == 20_000 and len(find(head + "A" * 1_000_000)) == 1 and len(find((head + " a:") * 20_000)) == 20_000
 
 
+def test_long_jwt_headers():
+    find = m.Scanner()
+    head = base64.urlsafe_b64encode(('{"alg":"RS256","x5c":["' + "MIIC" * 5000 + '"]}').encode()).decode().rstrip("=")
+    token = f"{head}.eyJzdWIiOiIxIn0.c2ln"
+    assert len(head) > 4096 and ("jwt", 2, 2 + len(token)) in find(f"x {token} y")
+    assert "jwt" not in {k for k, *_ in find("eyJ" * 300_000 + "." + "eyJ" * 300_000)}
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode()
+    assert "jwt" not in {k for k, *_ in find(f"{deep.rstrip('=')}.eyJa.b")}
+
+
 def test_long_runs_of_hits_end():
     find = m.Scanner()
     assert find("eyJ" * 60_000) == [] and find("-----BEGIN " * 20_000) == [] and len(find("token=" * 20_000 + "abcdef")) == 1
