@@ -18,10 +18,14 @@ Steps: each task tokenises its documents and numbers their tokens within
 function per queue; then each document is cut where the windows say.  Nothing of
 the size of the corpus is sorted or collected.
 
-At most ``QUEUES`` queues are kept: those of the largest sources, while all
-other sources share the last one, so what every task needs is bounded.  Full
-windows have no padding; the last, partial one is cut into sequences whose
-lengths are powers of two, which need none either.
+Every source has a queue.  More than ``QUEUES`` of them form a tree: a schedule
+over blocks of queues says how many tokens of a block each window gets, and the
+block's own schedule goes on from there in the same closed form, so a window costs
+a task ``QUEUES`` numbers a level.  A level adds less than a token to the deficit.
+What a task holds is one number a source.  Sources with a target share are not in
+the tree: each has its queue in one schedule, and the rest follows when they are
+served.  Full windows have no padding; the last, partial one is cut into sequences
+whose lengths are powers of two, which need none either.
 
 Defined cases: null text is empty and still has its end token; a null source is
 a source of its own; repeated rows are packed as rows of their own; an empty
@@ -49,7 +53,10 @@ from .op2_bpe import byte_alphabet
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 1
 WINDOW = 2048
+#: Queues of one schedule of the tree.
 QUEUES = 64
+#: Numbers in one array of window positions.
+CELLS = 1 << 20
 
 
 class Tokenizer:
@@ -134,7 +141,10 @@ class Schedule:
 
     def served(self, w: np.ndarray) -> np.ndarray:
         """Tokens of each queue served in the first w windows (rows: w)."""
-        want = np.minimum(np.asarray(w, np.float64) * WINDOW, self.total)
+        return self._after(np.minimum(np.asarray(w, np.float64) * WINDOW, self.total))
+
+    def _after(self, want: np.ndarray) -> np.ndarray:
+        """Tokens of each queue among the first ``want`` served."""
         low, high = np.zeros(len(want)), np.full(len(want), ((self.n + 1) / self.p).max(initial=1.0))
         open_ = np.arange(len(want))  # each row is halved until its own bracket is small: the result depends on w alone
         for _ in range(80):
@@ -165,6 +175,100 @@ class Schedule:
                 return w
             w = w + step
 
+    def at(self, want: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of queue ``q``, and of all queues before it, among the first ``want`` served."""
+        uniq, inv = np.unique(want, return_inverse=True)
+        mine, before, rows = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), max(1, CELLS // max(1, len(self.n)))
+        for k in range(0, len(uniq), rows):
+            here = np.flatnonzero((inv >= k) & (inv < k + rows))
+            c = self._after(uniq[k : k + rows].astype(np.float64))
+            mine[here] = c[inv[here] - k, q[here]]
+            before[here] = (np.cumsum(c, 1) - c)[inv[here] - k, q[here]]
+        return mine, before
+
+    def rank(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """About how many tokens are served before token ``at`` of queue ``q``."""
+        out, rows = np.zeros(len(q), np.int64), max(1, CELLS // max(1, len(self.n)))
+        for k in range(0, len(q), rows):
+            out[k : k + rows] = self._due((at[k : k + rows] + 0.5) / self.p[q[k : k + rows]]).sum(1)
+        return out
+
+
+class Tree:
+    """Schedules over any number of queues in proportion to their sizes."""
+
+    def __init__(self, sizes):
+        self.sizes, self.block = np.array(sizes, np.int64), None
+        if len(self.sizes) > QUEUES:
+            self.above = Tree(np.add.reduceat(self.sizes, np.arange(0, len(self.sizes), QUEUES)))
+            self.block = QUEUES
+            self.below: dict[int, Schedule] = {}
+        else:
+            self.only = Schedule(self.sizes)
+
+    def _blocks(self, q: np.ndarray):
+        """(schedule of a block, rows of ``q`` in it)"""
+        for b in np.unique(q // self.block).tolist():
+            if b not in self.below:
+                self.below[b] = Schedule(self.sizes[b * self.block : (b + 1) * self.block])
+            yield self.below[b], np.flatnonzero(q // self.block == b)
+
+    def at(self, want: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.block is None:
+            return self.only.at(want, q)
+        given, before = self.above.at(want, q // self.block)
+        mine = np.zeros_like(given)
+        for schedule, rows in self._blocks(q):
+            mine[rows], ahead = schedule.at(given[rows], q[rows] % self.block)
+            before[rows] += ahead
+        return mine, before
+
+    def rank(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if self.block is None:
+            return self.only.rank(q, at)
+        inner = np.zeros(len(q), np.int64)
+        for schedule, rows in self._blocks(q):
+            inner[rows] = schedule.rank(q[rows] % self.block, at[rows])
+        return self.above.rank(q // self.block, inner)
+
+
+class Mixture:
+    """Queues with target ``shares`` first, as one schedule, then all others by size."""
+
+    def __init__(self, sizes, shares=()):
+        self.named, self.total = len(shares), int(sum(sizes))
+        self.split = int(sum(sizes[: self.named]))
+        self.windows = -(-self.total // WINDOW)
+        self.parts = [Schedule(sizes[: self.named], shares), Tree(sizes[self.named :])]
+
+    def _parts(self, q: np.ndarray):
+        """(part, its rows, its queues, tokens of the parts before it, its tokens)"""
+        for part, mine, low, skip, n in ((self.parts[0], q < self.named, 0, 0, self.split), (self.parts[1], q >= self.named, self.named, self.split, self.total - self.split)):
+            if mine.any():
+                yield part, np.flatnonzero(mine), q[mine] - low, skip, n
+
+    def at(self, w: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of queue ``q``, and of all queues before it, served in the first w windows."""
+        want = np.minimum(np.asarray(w, np.int64) * WINDOW, self.total)
+        mine, before = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for part, rows, queue, skip, n in self._parts(q):
+            mine[rows], ahead = part.at(np.clip(want[rows] - skip, 0, n), queue)
+            before[rows] = ahead + np.minimum(want[rows], skip)
+        return mine, before
+
+    def window_of(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The window that serves token ``at`` of queue ``q``."""
+        w = np.zeros(len(q), np.int64)
+        for part, rows, queue, skip, _ in self._parts(q):
+            w[rows] = (part.rank(queue, at[rows]) + skip) // WINDOW
+        w = np.clip(w, 0, max(0, self.windows - 1))
+        while True:
+            c, _ = self.at(np.concatenate([w, w + 1]), np.concatenate([q, q]))
+            step = np.where(at < c[: len(w)], -1, np.where(at >= c[len(w) :], 1, 0))
+            if not step.any():
+                return w
+            w = w + step
+
 
 def last_sequences(rest: int) -> list[tuple[int, int]]:
     """(start, length) of the power-of-two sequences that hold the last ``rest`` tokens."""
@@ -176,21 +280,19 @@ def last_sequences(rest: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut(schedule: Schedule, q: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def cut(schedule: Mixture, q: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Pieces of documents at queue positions: (row, start, length, sequence_id, offset)."""
     first, last = schedule.window_of(q, at), schedule.window_of(q, at + n - 1)
     counts = last - first + 1
     row = np.repeat(np.arange(len(q)), counts)
     w = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    uniq, inv = np.unique(np.concatenate([w, w + 1]), return_inverse=True)
-    c = schedule.served(uniq)
-    lo, hi = c[inv[: len(w)]], c[inv[len(w) :]]
-    given = hi - lo
-    ahead = np.cumsum(given, 1) - given
-    k, queue = np.arange(len(w)), q[row]
-    start = np.maximum(at[row], lo[k, queue])
-    length = np.minimum((at + n)[row], hi[k, queue]) - start
-    offset = ahead[k, queue] + start - lo[k, queue]
+    queue = q[row]
+    c, before = schedule.at(np.concatenate([w, w + 1]), np.concatenate([queue, queue]))
+    lo, hi = c[: len(w)], c[len(w) :]
+    ahead = before[len(w) :] - before[: len(w)]
+    start = np.maximum(at[row], lo)
+    length = np.minimum((at + n)[row], hi) - start
+    offset = ahead + start - lo
     out = [row, start - at[row], length, w.copy(), offset]
     full = schedule.total // WINDOW
     tail = (w == full) & (length > 0)
@@ -213,19 +315,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     """
     docs = materialize(tokenized(df, id_col, text_col, source_col, path), "tokens")
     sums = materialize(docs.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "sums")
-    top = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), F.asc_nulls_last("source")).limit(QUEUES - 1).collect()
-    total = sums.agg(F.sum("tokens")).first()[0] or 0
-    names = [r["source"] for r in top]
-    sizes = [r["tokens"] for r in top]
-    if (rest := total - sum(sizes)) > 0 or not names:
-        sizes.append(rest)
-    wanted = None if shares is None else [shares.get(s, 0.0) for s in names] + [0.0] * (len(sizes) - len(names))
-    schedule = Schedule(sizes, wanted)
-    queue = F.lit(len(names))
-    for k, s in enumerate(names):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s)), k).otherwise(queue)
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    found = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()
+    target = {s: p for s, p in (shares or {}).items() if p > 0}
+    found.sort(key=lambda r: (r["source"] not in target, -r["tokens"], r["source"] is None, r["source"] or ""))
+    schedule = Mixture([r["tokens"] for r in found], [target[r["source"]] for r in found if r["source"] in target])
+    queues = df.sparkSession.createDataFrame([(r["source"], k) for k, r in enumerate(found)], "name string, queue int")
+    queues = materialize(queues.coalesce(1), "queues")
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.join(queues, F.col("source").eqNullSafe(F.col("name"))).withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     bases = materialize(bases.select("part", F.col("source").alias("src"), "queue", "base"), "bases")
     placed = docs.join(bases, (docs["part"] == bases["part"]) & docs["source"].eqNullSafe(bases["src"])).select("doc_id", "source", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()

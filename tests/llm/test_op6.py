@@ -107,3 +107,30 @@ def test_many_sources_share_a_queue(spark, monkeypatch):
     for ps in at.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(ps), sorted(ps)[1:]))
     assert len({p.doc_id for p in got}) == 300
+
+
+def test_every_source_has_a_queue(spark, monkeypatch):
+    monkeypatch.setattr(m, "QUEUES", 3)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 90_000, 40).tolist()
+    mix, q = m.Mixture(sizes), np.arange(40)
+    got = np.array([mix.at(np.full(40, w), q)[0] for w in range(mix.windows + 1)])
+    assert (got.sum(1) == np.minimum(np.arange(mix.windows + 1) * m.WINDOW, mix.total)).all()
+    assert (np.diff(got, axis=0) >= 0).all() and got[-1].tolist() == sizes
+    assert np.abs(np.diff(got, axis=0)[:-1] - m.WINDOW * np.array(sizes) / mix.total).max() < 4
+    lib = Tokenizer.from_file(m.TOKENIZER)
+    df = spark.range(600).selectExpr("id as doc_id", "repeat(concat('word ', id, ' more words '), 10 + cast(id % 7 as int)) as text", "if(id % 9 = 0, null, concat('s', id % 9)) as source")
+    docs = [(d.doc_id, lib.encode(d.text, add_special_tokens=False).ids + [1], d.source) for d in df.collect()]
+    check_packing(m.digest(m.pack(df.repartition(4))).collect(), docs)
+
+
+def test_shares_of_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(m, "QUEUES", 3)
+    df = spark.range(900).selectExpr("id as doc_id", "repeat(concat('word ', id, ' more words '), if(id % 9 < 2, 5, 20)) as text", "concat('s', id % 9) as source")
+    got = m.digest(m.pack(df, shares={"s0": 3, "s1": 1, "s2": 0})).collect()
+    first = [p for p in got if p.sequence_id == 0]
+    count = {s: sum(p.length for p in first if p.source == s) for s in {p.source for p in first}}
+    assert set(count) == {"s0", "s1"} and abs(count["s0"] - 1536) <= 1
+    last_named = max(p.sequence_id for p in got if p.source in ("s0", "s1"))
+    assert min(p.sequence_id for p in got if p.source not in ("s0", "s1")) >= last_named
+    assert {p.doc_id for p in got} == set(range(900))
