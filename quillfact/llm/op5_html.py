@@ -5,9 +5,12 @@ hashed (its tag, class, id, text and the hashes below it).  Spark counts, for
 each host, on how many different pages a subtree occurs; those on at least
 ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are the site's
 template, and are deleted from its pages.  What a template cannot show (a menu
-that differs from page to page) goes by its role: its element or its class or id
-names navigation, header, footer, sidebar, notice, advert, form or reader
-comments.  The text of the article is what is left.
+that differs from page to page) goes by its role: its element, or a whole class,
+id or role of a known form, names navigation, header, footer, sidebar, notice,
+advert, form or reader comments; within an article ids, often made from headings,
+and words that content has too do not count.  What is or holds the main element or
+the longest article, or most of the page's text, never goes by name.  The text of
+the article is what is left.
 
 An article repeated within a site is no template: only different pages count,
 subtrees that are, contain or lie within the page's ``article`` or ``main`` are
@@ -77,7 +80,21 @@ DROP_WORDS = frozenset(
     "footer masthead cookie cookies consent gdpr notice notification alert popup modal overlay paywall subscribe subscription newsletter signup login "
     "comment comments disqus respond replies share sharing social search searchbox contentinfo complementary".split()
 )
+#: Those that name no content; only they count within an article.
+CLEAR_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
+    "nav navbar navigation menubar breadcrumb breadcrumbs pagination pager toolbar topbar sidebar sidenav recirc "
+    "cookie cookies consent gdpr paywall subscribe subscription newsletter signup "
+    "comment comments disqus share sharing social searchbox contentinfo".split()
+)
 HEADER_WORDS = frozenset(("header", "topheader", "siteheader", "banner"))
+#: Words that may follow, or go before, a word above in a class or id of a known form.
+PARTS = frozenset(
+    "area author bar block body box boxes button buttons card cards column consent container footer form group header heading icon icons inner item items label "
+    "link links list media menu meta module nav navigation notice panel popup posts primary respond secondary section signup slot space stories "
+    "text thread title toggle tools trail unit widget widgets wrap wrapper zone".split()
+)
+PLACES = frozenset("article blog bottom desktop entry floating footer global header left main mobile page post primary reader right secondary site sticky sub top user".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -89,10 +106,11 @@ def host_of(url):
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "size")
+    __slots__ = ("tag", "attrs", "kids", "hash", "size", "main", "keep")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.kids, self.hash, self.size = tag, attrs, [], 0, 0
+        self.main = self.keep = False
 
 
 def parse(page: str) -> Node:
@@ -160,17 +178,30 @@ def post_order(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def _names(node: Node) -> tuple[str, frozenset]:
+def _roles(node: Node) -> list[tuple[str, str]]:
     got = ROLE.findall(node.attrs) if node.attrs else ()
-    text = " ".join(sorted(f"{k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in got))
-    return text, frozenset(w.lower() for _, v in got for w in WORDS.findall(v))
+    return sorted((k.lower(), v.strip(chr(34) + chr(39))) for k, v in got)
+
+
+def _names(node: Node) -> str:
+    return " ".join(f"{k}={v}" for k, v in _roles(node))
+
+
+def named(token: str, words: frozenset) -> bool:
+    """Whether a class, id or role is one of ``words``, or one with words that go with it."""
+    got = [w.lower() for w in WORDS.findall(token)]
+    if "".join(got) in words:
+        return True
+    return len(got) > 1 and (
+        (got[0] in words and all(w in PARTS or w in words or w.isdigit() for w in got[1:])) or (got[-1] in words and all(w in PLACES or w in words for w in got[:-1]))
+    )
 
 
 def hash_tree(root: Node) -> list[Node]:
-    """Set hash and text size of every subtree; nodes in post-order."""
+    """Set hash, text size and what protects every subtree; nodes in post-order."""
     nodes = post_order(root)
     for node in nodes:
-        parts, size = [f"<{node.tag} {_names(node)[0]}>" if node.attrs else f"<{node.tag}>"], 0
+        parts, size = [f"<{node.tag} {_names(node)}>" if node.attrs else f"<{node.tag}>"], 0
         for k in node.kids:
             if isinstance(k, Node):
                 parts.append(f"<#{k.hash}>")
@@ -180,6 +211,15 @@ def hash_tree(root: Node) -> list[Node]:
                 size += len(t)
         node.size = size
         node.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+        node.main = _is_main(node) or any(k.main for k in node.kids if isinstance(k, Node))
+    longest = max((x.size for x in nodes if x.tag == "article"), default=-1)
+    for node in nodes:
+        node.keep = (
+            (node.size if node.tag == "article" else -1) == longest >= 0
+            or (_is_main(node) and node.tag != "article")
+            or node.size > MOST_TEXT * root.size
+            or (node.main and any(k.keep and k.main for k in node.kids if isinstance(k, Node)))
+        )
     return nodes
 
 
@@ -189,16 +229,22 @@ def _is_main(node: Node) -> bool:
 
 def dropped(node: Node, in_article: bool) -> bool:
     """Whether an element's role tells that it is not part of the main text."""
-    if node.tag in DROP_TAGS or (node.tag == "header" and not in_article):
+    if (node.tag in DROP_TAGS and not (node.tag == "form" and node.keep)) or (node.tag == "header" and not in_article and not (node.main and node.keep)):
         return True
-    if not node.attrs:
+    if not node.attrs or node.keep:
         return False
     if HIDDEN.search(node.attrs):
         return True
     if node.tag in ("html", "body"):
         return False
-    names = _names(node)[1]
-    return bool(names & DROP_WORDS) or (not in_article and bool(names & HEADER_WORDS))
+    for kind, value in _roles(node):
+        for token in value.split():
+            if in_article:
+                if kind != "id" and named(token, CLEAR_WORDS):
+                    return True
+            elif named(token, DROP_WORDS) or named(token, HEADER_WORDS):
+                return True
+    return False
 
 
 def candidates(root: Node) -> list[int]:

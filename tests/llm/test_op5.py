@@ -31,6 +31,17 @@ def test_roles():
     assert text("<article>a</article><div>b</div><article>c</article>") == "a\n\nc"
 
 
+def test_names_are_whole_and_wrappers_stay():
+    for tag in ("<div class='content-sidebar-wrap'><article>%s</article></div>", "<div class='sidebar'><article>%s</article></div>", "<article class='post format-aside comments-open'>%s</article>", "<div id='search'><main>%s</main></div>", "<form><article>%s</article></form>", "<div class='has-sidebar'><p>%s</div>", "<div class='comments'><p>%s</div><p>x"):
+        assert "the main text of it" in text(tag % "<p>the main text of it</p>"), tag
+    for part in ("section id='related-work'", "section id='search-api'", "section id='menu-commands'", "section id='search'", "div class='alert'", "div class='headline-share-price'"):
+        assert text(f"<article><p>{'one ' * 9}</p><{part}>two</{part.split()[0]}></article>").endswith("two"), part
+    for part in ("newsletter-box", "post-comments", "adBox", "share-buttons", "site_nav", "ad-1"):
+        assert text(f"<article><p>{'one ' * 9}</p><div class='x {part}'>two</div></article>").endswith("one"), part
+        assert text(f"<p>{'one ' * 9}</p><div id='{part}'>two</div>").endswith("one"), part
+    assert text(f"<article>{'one ' * 9}</article><div class='comments'><article class='comment'>two</article></div>").endswith("one")
+
+
 def host_of(url):
     got = re.match(m.HOST, url or "")
     return re.sub(r"^www\.", "", got[1].lower()) if got else ""
