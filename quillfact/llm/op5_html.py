@@ -12,9 +12,15 @@ and words that content has too do not count.  What is or holds the main element
 the longest article, or most of the page's text, never goes by name.  The text of
 the article is what is left.
 
-An article repeated within a site is no template: only different pages count,
-subtrees that are, contain or lie within the page's ``article`` or ``main`` are
-not counted, and without these no subtree is that holds most of a page's text.
+An article repeated within a site is no template: only different pages count, what
+is or contains an ``article`` or ``main`` is never deleted, nor a subtree with
+most of the text of its article (of the page, where there is none), and nothing is
+deleted from an article, or from a run of paragraphs, most of whose text recurs.
+Within an article only blocks such as boxes, lists and paragraphs count, no
+headings, items or inline elements, which sentences and lists are made of.
+
+Text starts from the outermost ``main`` and ``article`` elements, or from the body if
+these hold less than ``MOST_TEXT`` of what is left of the page.
 
 The share bounds the templates of a host by the mean number of elements of its
 pages divided by the share.  They are written first, so Catalyst knows the
@@ -44,8 +50,10 @@ from .common import arrow_map, materialize, pick
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
-#: Without an article element, a subtree with more of the page's text than this is no template.
+#: A subtree with more than this of the text of its article (of the page, without one) is no template.
 MOST_TEXT = 0.5
+#: Without an article element, paragraphs together are guarded as one if they hold this share of the page's text.
+RUN_TEXT = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -54,6 +62,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELL = frozenset(("td", "th"))
+#: Elements that may be template within an article.
+BOX = frozenset("address aside blockquote center details dialog dir div dl fieldset figure footer form header menu nav ol p pre section table ul".split())
 CLOSES_P = BLOCK - {"html", "body", "legend", "summary", "tbody", "tfoot", "thead", "tr"}
 #: opening tag -> (open tags it ends, tags that stop the search)
 IMPLIED = {
@@ -249,43 +259,79 @@ def dropped(node: Node, in_article: bool) -> bool:
 
 def candidates(root: Node) -> list[int]:
     """Hashes of the subtrees that may be the site's template, each once a page."""
-    nodes = hash_tree(root)
-    parent = {id(k): x for x in nodes for k in x.kids if isinstance(k, Node)}
-    around, inside, todo = set(), set(), [root]
+    hash_tree(root)
+    out, todo = set(), [(root, None)]
+    any_main = False
+    while todo:  # whether a main element counts at all
+        x, _ = todo.pop()
+        if not dropped(x, False):
+            if any_main := _is_main(x):
+                break
+            todo += [(k, None) for k in x.kids if isinstance(k, Node) and k.main]
+    todo = [(root, None)]
+    while todo:
+        x, region = todo.pop()
+        if _is_main(x) and (region is not None or not dropped(x, False)):
+            region = x
+        elif x.size and x.tag not in ("#root", "html", "body", "head", "title"):
+            if region is not None:
+                fits = x.tag in BOX and not x.main and x.size <= MOST_TEXT * region.size
+            else:
+                fits = not x.main and (any_main or x.size <= MOST_TEXT * root.size)
+            if fits:
+                out.add(x.hash)
+        todo += [(k, region) for k in x.kids if isinstance(k, Node)]
+    return sorted(out)
+
+
+def _recurs(top: Node, template: frozenset, article: bool) -> bool:
+    """Whether most of a region's text is template: a copied text.  What lies in articles within it counts as its own."""
+    size, gone, todo = 0, 0, [(top, False)]
+    while todo:
+        x, within = todo.pop()
+        if x is not top:
+            if dropped(x, article):
+                continue
+            if not within and x.hash in template and not x.main and (not article or x.tag in BOX):
+                gone += x.size
+                size += x.size
+                continue
+            within = within or _is_main(x)
+        size += x.size - sum(k.size for k in x.kids if isinstance(k, Node))
+        todo += [(k, within) for k in x.kids if isinstance(k, Node)]
+    return gone > MOST_TEXT * size
+
+
+def _is_run(x: Node, root: Node) -> bool:
+    """Whether an element outside articles consists of paragraphs that hold much of the page's text."""
+    return not x.main and x.size >= RUN_TEXT * root.size and sum(k.size for k in x.kids if isinstance(k, Node) and k.tag == "p") >= MOST_TEXT * x.size
+
+
+def _roots(root: Node, template: frozenset) -> list[Node]:
+    """The outermost main and article elements."""
+    found, todo = [], [root]
     while todo:
         x = todo.pop()
-        if dropped(x, False):
+        if x is not root and (dropped(x, False) or (x.hash in template and not x.main)):
             continue
-        if not _is_main(x):
-            todo += [k for k in x.kids if isinstance(k, Node)]
-            continue
-        inside.update(id(y) for y in post_order(x))
-        while (x := parent.get(id(x))) is not None and id(x) not in around:
-            around.add(id(x))
-    most = None if inside else MOST_TEXT * root.size
-    skip = around | inside
-    return sorted({x.hash for x in nodes if x.size and x.tag not in ("#root", "html", "body", "head", "title") and id(x) not in skip and (most is None or x.size <= most)})
-
-
-def _roots(root: Node, template: frozenset) -> tuple[list[Node], bool]:
-    """The elements whose text counts, and whether they are articles."""
-    for wanted in (lambda x: x.tag == "article", _is_main):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x is not root and (dropped(x, False) or x.hash in template):
-                continue
-            if wanted(x):
-                found.append(x)
-            else:
-                todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
-        if found:
-            return found, True
-    return [root], False
+        if _is_main(x):
+            found.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
+    return found
 
 
 def main_text(root: Node, template: frozenset = frozenset()) -> str:
     """The text of a hashed tree without the subtrees of ``template``."""
+    whole = _text([root], root, template)
+    roots = _roots(root, template)
+    if not roots:
+        return whole
+    inner = _text(roots, root, template)
+    return inner if len(inner) >= MOST_TEXT * len(whole) else whole
+
+
+def _text(roots: list[Node], root: Node, template: frozenset) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -294,27 +340,33 @@ def main_text(root: Node, template: frozenset = frozenset()) -> str:
             blocks.append(t)
         run.clear()
 
-    roots, article = _roots(root, template)
     for top in roots:
-        todo: list = [(top, False)]
+        todo: list = [(top, False, False, template)]  # node, its end, whether in an article, templates to delete
         while todo:
-            x, end = todo.pop()
+            x, end, article, gone = todo.pop()
             if isinstance(x, str):
                 run.append(x)
                 continue
             if end:
                 flush()
                 continue
-            if x is not top and (dropped(x, article) or (not article and x.hash in template)):
+            copied = bool(gone) and not article and _is_run(x, root) and x is not root and _recurs(x, gone, False)
+            if x is not top and (dropped(x, article) or (x.hash in gone and not x.main and not copied and (not article or x.tag in BOX))):
                 if x.tag in BLOCK:
                     flush()
                 continue
+            if _is_main(x):
+                article = True
+                copied = bool(template) and _recurs(x, template, True)
+                gone = template
+            if copied:
+                gone = frozenset()
             if x.tag in BLOCK or x is top:
                 flush()
-                todo.append((x, True))
+                todo.append((x, True, article, gone))
             elif x.tag == "br" or x.tag in CELL:
                 run.append(" ")
-            todo += [(k, False) for k in reversed(x.kids)]
+            todo += [(k, False, article, gone) for k in reversed(x.kids)]
     flush()
     return "\n\n".join(blocks)
 

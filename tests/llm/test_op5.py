@@ -75,6 +75,22 @@ def test_templates_are_removed(spark):
     assert {r.host: r.template for r in m.templates(df).collect()} == brute_templates([(u, h) for _, u, h in rows])
 
 
+def test_templates_within_articles(spark):
+    box = "<div>Sign up and get our letter every week</div>"
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k, f"http://a.org/{k}", f"<main><p>Read this and that</p><article><h2>News</h2><p>{words(k, 30)} <b>and</b> {words(-k, 9)}</p>{box}</article></main>") for k in range(8)]
+    copied = f"<article><p>{words('a', 20)}</p><p>{words('b', 20)}</p></article>"
+    rows += [(20 + k, f"http://b.org/{k}", f"<i>{k}</i>{copied}") for k in range(8)]
+    rows += [(40 + k, f"http://c.org/{k}", f"<div>Our shop</div><article>Teaser {k}</article><div><p>{words(k, 40)}</p></div>") for k in range(8)]
+    rows += [(60 + k, f"http://d.org/{k}", f"<div>Our shop</div><div>{'<p>' + words('a', 20)}<p>{words('b', 20)}</p></div><p>page {k}</p>") for k in range(8)]
+    got = {r.page_id: r.text for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == f"News\n\n{words(k, 30)} and {words(-k, 9)}"
+        assert got[20 + k] == f"{words('a', 20)}\n\n{words('b', 20)}"
+        assert got[40 + k] == f"Teaser {k}\n\n{words(k, 40)}"
+        assert got[60 + k] == f"{words('a', 20)}\n\n{words('b', 20)}\n\npage {k}"
+
+
 def plain(page):
     art = re.search(r"<article>(.*)</article>", page, re.S)[1]
     art = re.sub(r"<(/?)(b|br)>", lambda x: " " if x[2] == "br" else "", art)
