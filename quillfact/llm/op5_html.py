@@ -3,8 +3,8 @@
 Method.  Each page is parsed into a tree, and every element subtree with text is
 hashed (its tag, class, id, text and the hashes below it).  Spark counts, for
 each host, on how many different pages a subtree occurs; those on at least
-``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are the site's
-template, and are deleted from its pages.  What a template cannot show (a menu
+``MIN_PAGES`` pages, however many the host has, are the site's template, and are
+deleted from its pages.  What a template cannot show (a menu
 that differs from page to page) goes by its role: its element, or a whole class,
 id or role of a known form, names navigation, header, footer, sidebar, notice,
 advert, form or reader comments; within an article ids, often made from headings,
@@ -22,9 +22,10 @@ headings, items or inline elements, which sentences and lists are made of.
 Text starts from the outermost ``main`` and ``article`` elements, or from the body if
 these hold less than ``MOST_TEXT`` of what is left of the page.
 
-The share bounds the templates of a host by the mean number of elements of its
-pages divided by the share.  They are written first, so Catalyst knows the
-table's size: it is broadcast if small and joined by shuffle otherwise.
+A page gets the templates it holds itself, not all of its host, so no row grows with
+the host.  Up to ``SENT`` template hashes are sent to the workers, which look a page's
+subtrees up; beyond that, subtrees and template hashes meet by (host, hash), pages and
+their templates by (host, page), in shuffles.  Both ways have the same result.
 
 Text: character references decoded, white space in a block made one space,
 trimmed, blocks in page order joined by an empty line.
@@ -41,6 +42,7 @@ import html as _html
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +51,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize, pick
 
 MIN_PAGES = 5
-MIN_SHARE = 0.2
+#: No share of the host's pages is asked for: a large site's sections have templates of their own.
+MIN_SHARE = 0.0
 #: A subtree with more than this of the text of its article (of the page, without one) is no template.
 MOST_TEXT = 0.5
 #: Without an article element, paragraphs together are guarded as one if they hold this share of the page's text.
@@ -62,6 +65,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELL = frozenset(("td", "th"))
+#: Template hashes (of eight bytes) up to which they are sent to the workers.
+SENT = 1 << 22
 #: Elements that may be template within an article.
 BOX = frozenset("address aside blockquote center details dialog dir div dl fieldset figure footer form header menu nav ol p pre section table ul".split())
 CLOSES_P = BLOCK - {"html", "body", "legend", "summary", "tbody", "tfoot", "thead", "tr"}
@@ -371,51 +376,70 @@ def _text(roots: list[Node], root: Node, template: frozenset) -> str:
     return "\n\n".join(blocks)
 
 
-def templates(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template): the hashes of each host's template subtrees."""
+def _keyed(df: DataFrame, url_col: str, html_col: str, **columns: str) -> DataFrame:
+    """Pages with their host and a hash of their html."""
+    rows = pick(df, url=url_col, html=html_col, **columns)
+    return rows.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64(F.coalesce("html", F.lit(""))))
+
+
+def _seen(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, page, parts): the candidates of each different page."""
 
     def start():
         def f(batch):
-            pages = [p or "" for p in batch.column("html").to_pylist()]
-            return [
-                batch.column("host"),
-                [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in pages],
-                [candidates(parse(p)) for p in pages],
-            ]
+            return [batch.column("host"), batch.column("page"), [candidates(parse(p or "")) for p in batch.column("html").to_pylist()]]
 
         return f
 
-    rows = pick(df, url=url_col, html=html_col).select(host_of(F.col("url")).alias("host"), "html")
-    seen = arrow_map(rows, "host string, page long, parts array<long>", start)
+    seen = arrow_map(_keyed(df, url_col, html_col).select("host", "page", "html"), "host string, page long, parts array<long>", start)
     # equal pages of a host count once; what they hold is equal too
-    pages = materialize(seen.groupBy("host", "page").agg(F.first("parts").alias("parts")), "pages")
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    often = counts.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("template"))
+    return materialize(seen.groupBy("host", "page").agg(F.first("parts").alias("parts")), "pages")
+
+
+def _often(pages: DataFrame) -> DataFrame:
+    """(host, part): the template subtrees."""
+    return pages.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "part")
+
+
+def templates(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, template): the hashes of each host's template subtrees."""
+    return _often(_seen(df, url_col, html_col)).groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("template"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     kinds = {a: df.schema[c].dataType.simpleString() for a, c in (("page_id", id_col), ("url", url_col))}
-    found = materialize(templates(df, url_col, html_col), "templates")
-
-    rows = pick(df, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "template")
+    pages = _seen(df, url_col, html_col)
+    often = materialize(_often(pages), "templates")
+    rows = _keyed(df, url_col, html_col, page_id=id_col)
+    keys = None
+    if often.count() <= SENT:
+        salted = often.select(F.col("part").bitwiseXOR(F.xxhash64("host")).alias("key")).toArrow()
+        keys = df.sparkSession.sparkContext.broadcast(np.sort(salted.column("key").to_numpy()))
+        joined = rows.select("page_id", "url", "html", F.xxhash64("host").alias("salt"))
+    else:
+        held = pages.select("host", "page", F.explode("parts").alias("part")).join(often, ["host", "part"])
+        gone = materialize(held.groupBy("host", "page").agg(F.collect_list("part").alias("template")), "gone")
+        joined = rows.join(gone, ["host", "page"], "left").select("page_id", "url", "html", "template")
+
+    def found(root: Node, salt: int) -> frozenset:
+        own = np.array(candidates(root), np.int64)
+        if not len(own) or not len(keys.value):
+            return frozenset()
+        at = np.searchsorted(keys.value, own ^ salt)
+        return frozenset(own[keys.value[np.minimum(at, len(keys.value) - 1)] == own ^ salt].tolist())
 
     def start():
-        memory: dict[tuple, frozenset] = {}
-
         def f(batch):
             out = []
-            for page, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-                key = tuple(t or ())
-                if (gone := memory.get(key)) is None:
-                    memory.clear()
-                    gone = memory[key] = frozenset(key)
+            for page, t in zip(batch.column("html").to_pylist(), batch.column(3).to_pylist()):
                 root = parse(page or "")
-                hash_tree(root)
-                out.append(main_text(root, gone))
+                if keys is None:
+                    hash_tree(root)
+                    template = frozenset(t or ())
+                else:
+                    template = found(root, t)
+                out.append(main_text(root, template))
             return [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), [len(x) for x in out]]
 
         return f

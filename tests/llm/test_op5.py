@@ -91,6 +91,17 @@ def test_templates_within_articles(spark):
         assert got[60 + k] == f"{words('a', 20)}\n\n{words('b', 20)}\n\npage {k}"
 
 
+def test_templates_of_sections_of_a_large_host(spark, monkeypatch):
+    page = lambda k: f"<div>Menu of section {k % 10}</div><div><p>{' '.join(f'w{k}x{j}' for j in range(30))}</p></div>"
+    rows = [(k, f"http://a.org/{k}", page(k)) for k in range(60)] + [(99, "http://a.org/99", page(11)), (100, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in m.extract(df).collect()}
+    assert len(got) == 62 and got[100] == "" and got[99] == got[11]
+    assert all("Menu" not in t for t in got.values()) and all(got[k].startswith(f"w{k}x0 ") for k in range(60))
+    monkeypatch.setattr(m, "SENT", 0)
+    assert {r.page_id: r.text for r in m.extract(df).collect()} == got
+
+
 def plain(page):
     art = re.search(r"<article>(.*)</article>", page, re.S)[1]
     art = re.sub(r"<(/?)(b|br)>", lambda x: " " if x[2] == "br" else "", art)
