@@ -1,9 +1,12 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Method.  Filter directions come from a structured random product code: the
-coordinates are cut into ``BLOCKS`` parts, each part has ``CODEWORDS`` random
+Method.  Vectors are first turned by a fixed random rotation (three rounds of random
+signs and a Hadamard transform, in ``WIDTH`` dimensions at least), so that it does not
+matter where a vector's weight lies or how few dimensions it has.  Filter directions
+come from a structured random product code: the
+coordinates are cut into two parts, each part has ``CODEWORDS`` random
 unit vectors, and every combination of one codeword a part, scaled to length
-one, is a filter (``CODEWORDS ** BLOCKS``, about a million).  A vector's filters
+one, is a filter (``CODEWORDS ** 2``, about a million).  A vector's filters
 are all whose inner product with it reaches a threshold: the caps that contain
 it.  Product structure makes the list cheap: sort the scores of each part, then
 read off combinations that reach the threshold.  Vectors are joined on (label,
@@ -11,8 +14,10 @@ filter), and pairs that meet are verified by their cosine in double precision.
 
 The threshold gives ``EXPECTED`` filters to a random vector; a vector with fewer
 than ``LEAST`` takes its own threshold from its ``LEAST`` best, so none is left
-with a poor chance of meeting its neighbours.  Recall against brute force on
-links at cosine 0.98 and above is measured in the tests (over 0.99).
+with a poor chance of meeting its neighbours, and one with more than ``MOST`` from
+its ``MOST`` best.  Recall on links at cosine 0.98 and above is measured against brute
+force in the tests, over 0.99 from 2 to 768 dimensions for isotropic, half-zero,
+non-negative and nearly one-hot vectors.
 
 Equal vectors of a label are first folded into one with a weight, so copies are
 never paired.  Filters with one vector are dropped before vectors are sent
@@ -40,10 +45,13 @@ from pyspark.sql import functions as F
 from .common import arrow_map, connected_components, materialize, pick
 
 MIN_COSINE = 0.98
-BLOCKS = 2
 CODEWORDS = 1024
 EXPECTED = 32
 LEAST = 16
+MOST = 64
+WIDTH = 64
+#: Ranks in the two parts among which the MOST best combinations are: (i + 1) (j + 1) others are no worse.
+BEST = np.array([(i, j) for i in range(MOST) for j in range(MOST // (i + 1))]).T
 SLICE = 1024
 SEED = 20240607
 
@@ -55,32 +63,48 @@ def _quantile(p: float) -> float:
 
 
 class Filters:
-    """Product code of one dimension, and list decoding."""
+    """Rotation and product code of one dimension, and list decoding."""
 
     def __init__(self, dim: int):
-        self.cuts = np.linspace(0, dim, BLOCKS + 1).astype(int)
+        self.size = max(WIDTH, 1 << (dim - 1).bit_length())
         rng = np.random.default_rng([SEED, dim])
+        self.signs = rng.choice([-1.0, 1.0], (3, self.size))
+        half = self.size // 2
         self.code = []
-        for a, b in zip(self.cuts, self.cuts[1:]):
-            c = rng.standard_normal((CODEWORDS, b - a))
-            self.code.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) / np.sqrt(BLOCKS))
-        self.threshold = _quantile(EXPECTED / CODEWORDS**BLOCKS) / np.sqrt(dim)
+        for _ in range(2):
+            c = rng.standard_normal((CODEWORDS, half))
+            self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(2))
+        self.threshold = _quantile(EXPECTED / CODEWORDS**2) / np.sqrt(self.size)
+
+    def rotate(self, unit: np.ndarray) -> np.ndarray:
+        """Rows turned, lengths kept."""
+        n, size = len(unit), self.size
+        x = np.zeros((n, size))
+        x[:, : unit.shape[1]] = unit
+        for signs in self.signs:
+            x *= signs
+            h = 1
+            while h < size:
+                y = x.reshape(n, -1, 2, h)
+                x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, size)
+                h *= 2
+            x /= np.sqrt(size)
+        return x
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row, the sorted numbers of all filters that reach its threshold."""
-        scores = [unit[:, a:b] @ c.T for (a, b), c in zip(zip(self.cuts, self.cuts[1:]), self.code)]
-        orders = [np.argsort(-s, axis=1) for s in scores]
+        x = self.rotate(unit)
+        half = self.size // 2
+        scores = [x[:, :half] @ self.code[0].T, x[:, half:] @ self.code[1].T]
+        orders = [np.argsort(-s, axis=1, kind="stable") for s in scores]
         ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, orders)]
-        best = ranked[0][:, :LEAST, None] + ranked[1][:, None, :LEAST]  # the LEAST best combinations are among these
-        own = -np.partition(-best.reshape(len(unit), -1), LEAST - 1, axis=1)[:, LEAST - 1]
-        limit = np.minimum(self.threshold, own)
+        best = -np.sort(-(ranked[0][:, BEST[0]] + ranked[1][:, BEST[1]]), axis=1)
+        limits = np.minimum(np.maximum(self.threshold, best[:, MOST - 1]), best[:, LEAST - 1])
         out = []
-        for k, t in enumerate(limit):
-            x, y = ranked[0][k], ranked[1][k]
-            rows = int(np.searchsorted(-x, -(t - y[0]), side="right"))
-            counts = np.searchsorted(-y, -(t - x[:rows]), side="right")
-            i = np.repeat(np.arange(rows), counts)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        for k, (x, y, limit) in enumerate(zip(*ranked, limits)):
+            # the same sums that made the limit are compared with it, so that none is lost by rounding
+            rows, cols = int((x + y[0] >= limit).sum()), int((x[0] + y >= limit).sum())
+            i, j = np.nonzero(x[:rows, None] + y[None, :cols] >= limit)
             out.append(np.sort(orders[0][k][i] * CODEWORDS + orders[1][k][j]))
         return out
 

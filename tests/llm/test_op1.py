@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from quillfact.llm import op1_embedding_dedup as m
 
@@ -57,6 +58,44 @@ def test_recall_and_precision(spark):
     assert same > 0.99 and all(g.kept == (g.vec_id == g.component_id) for g in got.values())
 
 
+def pairs(kind, dim, n, seed=3):
+    """(x, y): unit vectors of a kind, and for each another at cosine 0.981."""
+    rng = np.random.default_rng([seed, dim])
+    x = rng.standard_normal((n, dim))
+    if kind == "half zero":
+        x[:, max(2, dim // 2) :] = 0
+    elif kind == "one-hot":
+        x = np.eye(dim)[rng.integers(0, dim, n)] + 1e-3 * x
+    elif kind == "non-negative":
+        x = np.abs(x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape) * (x != 0)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return x, 0.981 * x + np.sqrt(1 - 0.981**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "half zero", "one-hot", "non-negative"])
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 64, 768])
+def test_neighbours_share_filters(kind, dim):
+    x, y = pairs(kind, dim, 400)
+    code = m.Filters(dim)
+    assert np.allclose(np.linalg.norm(code.rotate(x), axis=1), 1)
+    a, b = code.decode(x), code.decode(y)
+    assert all(m.LEAST <= len(f) <= m.MOST for f in a + b)
+    assert sum(len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)) >= 0.99 * len(a)
+
+
+@pytest.mark.parametrize("kind,dim", [("isotropic", 2), ("isotropic", 3), ("half zero", 64), ("one-hot", 8), ("non-negative", 768)])
+def test_recall_of_hard_vectors(spark, kind, dim):
+    x, y = pairs(kind, dim, 40)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([x, y]))] + [(900, [1.0], 0), (901, [2.0], 0), (902, [-1.0], 0)]
+    got = m.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {r[0]: r for r in brute([(i, np.float32(v).tolist(), lab) for i, v, lab in rows])}
+    assert all(g.n_links <= want[g.vec_id][1] for g in got)
+    assert sum(g.n_links for g in got) >= 0.99 * sum(w[1] for w in want.values())
+    assert sum(g.component_id == want[g.vec_id][2] for g in got) >= 0.97 * len(got)
+
+
 def test_slices_count_each_pair_once(spark, monkeypatch):
     vectors = clusters(4, 1, 0.05, each=90)
     df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], SCHEMA)
