@@ -3,30 +3,31 @@
 Method.  The merges, in order, are compiled into a deterministic automaton over
 tokens that accepts exactly the token sequences BPE makes.  It begins with one
 state, in which every base symbol loops.  The gadget for a merge (u, v) -> w
-splits the state that u leads to, so that v no longer follows u there, and gives
-w to every state that had u, leading where v led.  All arcs with one label lead
-to one state, so a state is the label read last, and the split states differ
-from their origin by the arcs taken away or added later.  They are kept as that
-difference: for each token its parts and the step that made it.  Whether state a
-has an arc b follows from the gadgets in order:
-
-* the pair was taken away by its own merge: no arc;
-* otherwise, if b is the younger (or both are one), a got arc b when b was made,
-  exactly if it then had the arc of b's first part;
-* if a is the younger, it is a copy of the state after its second part, as that
-  was just before a was made;
-* a merge whose pair had no arc when it was applied makes a token without arcs.
-
-``arc`` answers by this rule and remembers the answers: the transition table.
-Every prefix of a word has exactly one accepted token sequence, so encoding
-reads a word left to right and keeps, for each position, the one state reached:
-of the tokens that end there, the one whose start's state has its arc.  No merge
-loop runs at encoding time.  Decoding emits the labels of the arcs.
+splits a new state off the state after v, takes the arc v away from the state
+after u, and gives an arc w, leading to the new state, to every state that has an
+arc u.  All arcs with one label lead to one state, so a state is the label read
+last.  Each gadget is compiled into stored arcs as differences (written out, the
+arcs of 48,894 merges would take gigabytes):
+
+* ``parent``, ``since``: the state that a state was split off, and the step: what
+  the parent had just before is the copy's too;
+* ``lost``: an arc taken from a state, with the step;
+* ``gain``: label w comes to all states that have label u at w's step.
+
+Labels consist of symbols, so the arcs are then joined with a table of the labels'
+symbols into one over symbols: a place in it is the set of (state, symbols read of a
+label that may follow), and reading a symbol moves all of them on.  Every prefix of a
+word has exactly one accepted token sequence, so exactly one state is reached with each
+symbol.  Places and their transitions are made when first met and stored; a word is
+encoded by one look into the table a symbol, from its first to its last.  No merge loop
+runs at encoding time.  Decoding emits the labels of the arcs.
 
 Pre-splitting, normalisation, added tokens and the joining of labels are those
 of the tokenizer file (NFC, white space, lower case; a decoder that joins with
-one space).  As no rule of it looks across white space, words between white
-space are encoded one by one and remembered.
+one space).  Normalising and splitting of other than ASCII characters is left to
+the library's own parts, so that its Unicode version counts, not Python's.  As no
+rule of the file looks across white space, words between white space are encoded
+one by one and remembered.
 
 Defined cases: null or empty text has no ids and decodes to the empty text;
 texts of any length are encoded whole; repeated rows alike; an empty table gives
@@ -38,20 +39,20 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 from array import array
 
 import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import arrow_map, pick, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHE = 300_000  # words remembered by a worker; beyond it the memory is emptied
+PLACES = 400_000  # places of the table over symbols, likewise
 KEPT = 100  # characters of the longest word that is remembered
-SHARED = 48  # symbols of the longest word whose prefixes' states are remembered
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the expression doesn't
 
@@ -67,84 +68,120 @@ class Automaton:
     """The deterministic automaton of an ordered list of merges."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        n = max(vocab.values()) + 1
-        self.label: list[str | None] = [None] * n
+        n = self.n = max(vocab.values()) + 1
+        self.parent, self.since, self.gain = [-1] * n, [0] * n, [-1] * n
+        #: state * n + label -> step of the gadget that took the arc away
+        self.lost: dict[int, int] = {}
+        #: whether a label leads anywhere: a merge whose pair never occurs makes none
+        self.alive = [False] * n
+        self.spelling: list[tuple[str, ...]] = [()] * n
+        made = {u + v for u, v in merges}
         for s, i in vocab.items():
-            self.label[i] = s
-        #: step that made a token (0: a base symbol), its parts, and the step that merges a pair
-        self.born, self.first, self.second = [0] * n, [0] * n, [0] * n
-        self.taken: dict[tuple[int, int], int] = {}
-        #: whether a token has arcs at all: a merge whose pair never occurs gives none
-        self.alive = [True] * n
+            if s not in made:
+                self.alive[i], self.spelling[i] = True, (s,)
         for step, (u, v) in enumerate(merges, 1):
-            a, b, w = vocab[u], vocab[v], vocab[u + v]
-            if self.born[w]:
-                raise ValueError(f"two merges make {u + v!r}; a state would not be told by its last label")
-            if max(self.born[a], self.born[b]) >= step:
-                raise ValueError(f"{u!r} {v!r} is merged before it is made")
-            self.alive[w] = self.alive[a] and self.alive[b] and self._arc_at(a, b, step - 1)
-            self.born[w], self.first[w], self.second[w] = step, a, b
-            self.taken[a, b] = step
-        self.table: dict[tuple[int, int], bool] = {}
-        self.ids = vocab
-        #: prefix -> state: transitions taken so far, shared by all words with that prefix
-        self.ends: dict[str, int] = {}
-        self.longest = max(map(len, vocab), default=1)
-
-    def arc(self, a: int, b: int) -> bool:
-        """Whether the finished automaton has an arc b from the state after a."""
-        if (got := self.table.get((a, b))) is None:
-            got = self.table[a, b] = self.alive[a] and self.alive[b] and self._arc_at(a, b, 1 << 60)
+            self._gadget(step, vocab[u], vocab[v], vocab[u + v])
+        self.length = [len(x) for x in self.spelling]
+        #: node of the labels' symbols -> symbol -> (token or -1, node)
+        self.nodes: list[dict[str, tuple[int, int]]] = [{}]
+        for t, spelling in enumerate(self.spelling):
+            if self.alive[t]:
+                self._spell(t, spelling)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the places and arcs met so far."""
+        self.arcs: dict[int, bool] = {}
+        #: place -> (state, node) pairs; symbol -> place; the state reached with its last symbol
+        self.pairs: list[tuple] = [((-1, 0),)]
+        self.table: list[dict[str, int]] = [{}]
+        self.reached: list[int] = [-1]
+        self.place: dict[tuple, int] = {self.pairs[0]: 0}
+        self.ends: list[dict[str, int]] = [{}]
+
+    def _spell(self, t: int, spelling: tuple[str, ...]) -> None:
+        nodes, at = self.nodes, 0
+        for k, s in enumerate(spelling):
+            token, after = nodes[at].get(s, (-1, 0))
+            last = k == len(spelling) - 1
+            if not after and not last:
+                nodes.append({})
+                after = len(nodes) - 1
+            nodes[at][s] = (t if last else token, after)
+            at = after
+
+    def _gadget(self, step: int, u: int, v: int, w: int) -> None:
+        if self.since[w]:
+            raise ValueError("two merges make one label; a state would not be told by its last label")
+        if not self.spelling[u] or not self.spelling[v]:
+            raise ValueError("a label is merged before it is made")
+        self.alive[w] = self.alive[u] and self.alive[v] and self._has(u, v, step - 1)
+        self.parent[w], self.since[w], self.gain[w] = v, step, u
+        self.lost[u * self.n + v] = step
+        self.spelling[w] = self.spelling[u] + self.spelling[v]
+
+    def arc(self, state: int, label: int) -> bool:
+        """Whether the automaton has this arc (the first state, -1, has all)."""
+        if state < 0:
+            return True
+        key = state * self.n + label
+        if (got := self.arcs.get(key)) is None:
+            got = self.arcs[key] = self.alive[state] and self.alive[label] and self._has(state, label, 1 << 60)
         return got
 
-    def _arc_at(self, a: int, b: int, step: int) -> bool:
-        """The same after the first ``step`` gadgets, both being made by then."""
-        born, taken = self.born, self.taken
+    def _has(self, state: int, label: int, step: int) -> bool:
+        """The same after the first ``step`` gadgets, read off the differences."""
+        since, lost, n = self.since, self.lost, self.n
         while True:
-            if taken.get((a, b), 1 << 61) <= step:
+            if lost.get(state * n + label, 1 << 61) <= step:
                 return False
-            if not born[a] and not born[b]:
+            if not since[state] and not since[label]:
                 return True
-            if born[b] >= born[a]:  # a got arc b when b was made, if it had the arc of b's first part after the split
-                b, step = self.first[b], born[b]
-            else:  # a is a copy of the state after its second part, before the split
-                a, step = self.second[a], born[a] - 1
-
-    def step(self, symbols: str, i: int, state, suffix: str = "") -> int:
-        """The state after the first ``i`` symbols (one character each), the last with ``suffix``.
-
-        ``state(j)`` gives the state after j of them: the token sought is the one
-        that ends here and whose arc leaves the state where it starts.
-        """
-        label_id, born = self.ids.get, self.born
-        for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
-            t = label_id(symbols[j:i] + suffix)
-            # a label of several symbols that spells a base symbol is not its arc
-            if t is not None and (born[t] or j == i - 1) and (self.arc(state(j), t) if j else self.alive[t]):
+            if since[label] >= since[state]:  # the state gained the label if it then had the one that brought it
+                label, step = self.gain[label], since[label]
+            else:  # the state is a copy of its parent as that was before the split
+                state, step = self.parent[state], since[state] - 1
+
+    def _token(self, place: int, symbol: str) -> int:
+        """The one label that ends with this symbol after the place."""
+        for state, node in self.pairs[place]:
+            t = self.nodes[node].get(symbol, (-1, 0))[0]
+            if t >= 0 and self.arc(state, t):
                 return t
-        raise ValueError(f"no token ends at {symbols[max(0, i - 40) : i] + suffix!r}")
-
-    def encode(self, symbols: str, suffix: str = "") -> list[int]:
-        """Token ids of a word of base symbols, one character each, the last with ``suffix``."""
-        n = len(symbols)
-        if n <= SHARED:
-            ends, k = self.ends, n - 1
-            state = lambda j: ends[symbols[:j]]
-            while k > 0 and symbols[:k] not in ends:
-                k -= 1
-            for i in range(k + 1, n):
-                ends[symbols[:i]] = self.step(symbols, i, state)
-        else:  # a long word's prefixes are not worth keeping
-            own = [-1]
-            state = own.__getitem__
-            for i in range(1, n):
-                own.append(self.step(symbols, i, state))
-        t = self.step(symbols, n, state, suffix)
-        out, at = [t], n - len(self.label[t]) + len(suffix)
-        while at:
-            t = state(at)
+        raise ValueError(f"no base symbol {symbol!r}")
+
+    def _move(self, place: int, symbol: str) -> int:
+        """The place after one more symbol, made if it is new."""
+        token = self._token(place, symbol)
+        on = [(state, after) for state, node in self.pairs[place] if (after := self.nodes[node].get(symbol, (-1, 0))[1])]
+        pairs = (*on, (token, 0))
+        if (to := self.place.get(pairs)) is None:
+            to = self.place[pairs] = len(self.pairs)
+            self.pairs.append(pairs)
+            self.table.append({})
+            self.ends.append({})
+            self.reached.append(token)
+        self.table[place][symbol] = to
+        return to
+
+    def encode(self, symbols: str, last: str) -> list[int]:
+        """Token ids of a word: base symbols of one character each, and its last symbol."""
+        table, reached, place, states = self.table, self.reached, 0, []
+        for s in symbols:
+            to = table[place].get(s)
+            if to is None:
+                to = self._move(place, s)
+            place = to
+            states.append(reached[place])
+        t = self.ends[place].get(last)
+        if t is None:
+            t = self.ends[place][last] = self._token(place, last)
+        length, out = self.length, [t]
+        at = len(states) - length[t]
+        while at >= 0:
+            t = states[at]
             out.append(t)
-            at -= len(self.label[t])
+            at -= length[t]
         return out[::-1]
 
 
@@ -160,8 +197,13 @@ class Codec:
         self.automaton = Automaton(self.vocab, [tuple(m) for m in model["merges"]])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.label = [*self.automaton.label] + [None] * (1 + max([0, *self.added.values()]) - len(self.automaton.label))
+        words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(words)
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.split = pre_tokenizers.Split(Regex(words), "removed", invert=True).pre_tokenize_str
+        self.label: list[str | None] = [None] * (1 + max([*self.vocab.values(), *self.added.values()]))
+        for s, i in self.vocab.items():
+            self.label[i] = s
         for s, i in self.added.items():
             self.label[i] = s
         self.byte = byte_alphabet()
@@ -170,8 +212,10 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         if (got := self.known.get(word)) is None:
-            symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.byte[b] for b in word.encode("utf-8", "surrogatepass")])
-            got = array("I", self.automaton.encode(symbols, self.suffix)).tobytes()
+            if len(self.automaton.table) > PLACES:
+                self.automaton.clear()
+            symbols = word if word.isascii() and word.isprintable() else "".join([self.byte[b] for b in word.encode("utf-8", "surrogatepass")])
+            got = array("I", self.automaton.encode(symbols[:-1], symbols[-1] + self.suffix)).tobytes()
             if len(word) <= KEPT:
                 self.known[word] = got
         return got
@@ -179,15 +223,14 @@ class Codec:
     def _spaced(self, chunk: str) -> bytes:
         """Ids of a stretch without white space."""
         if chunk.isascii():
-            low = chunk.lower()
-        else:  # lower case of each character by itself: the final form of sigma is not used
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return b"".join([self._word(w) for w in self.words.findall(low)])
+            words = self.words.findall(chunk.lower())
+        else:
+            words = [w for w, _ in self.split(self.normal(chunk))]
+        return b"".join([self._word(w) for w in words])
 
     def _plain(self, text: str) -> list[bytes]:
-        auto = self.automaton
-        for kept, most in ((self.memory, CACHE), (self.known, CACHE), (auto.ends, 2 * CACHE), (auto.table, 2 * CACHE)):
-            if len(kept) > most:
+        for kept in (self.memory, self.known):
+            if len(kept) > CACHE:
                 kept.clear()
         memory, out = self.memory, []
         for chunk in SPACE.split(text) if ODD_SPACE.search(text) else text.split():

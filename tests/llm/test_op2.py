@@ -39,7 +39,7 @@ def test_automaton_equals_merge_loop():
         for n in range(1, 7):
             for w in itertools.product("abc", repeat=n):
                 want = merge_loop(w, merges)
-                got = [auto.label[i] for i in auto.encode(''.join(w))]
+                got = ["".join(auto.spelling[i]) for i in auto.encode("".join(w[:-1]), w[-1])]
                 assert got == want, (merges, w)
         # deterministic: every sequence of tokens that the arcs accept is the one BPE makes
         for pair in itertools.product(vocab, repeat=2):
@@ -68,6 +68,30 @@ def test_equals_library(lib):
         assert c.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_every_code_point_equals_library(lib):
+    """Classes, lower case and normal forms are the library's, for every code point by itself and within words."""
+    c = m.Codec()
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    sample = lambda p: f"a{p}b {p}{p}9" if ord(p) < 0x20000 else f"a{p}b"
+    for k in range(0, len(points), 500):
+        text = " ".join(map(sample, points[k : k + 500]))
+        if c.encode(text).tolist() != lib.encode(text, add_special_tokens=False).ids:
+            raise AssertionError([hex(ord(p)) for p in points[k : k + 500] if c.encode(sample(p)).tolist() != lib.encode(sample(p), add_special_tokens=False).ids])
+
+
+def test_table_is_read_forward_and_forgotten(lib, monkeypatch):
+    c = m.Codec()
+    text = "tokenization of unbelievable words"
+    want = c.encode(text).tolist()
+    places = len(c.automaton.table)
+    assert places > 20 and sum(map(len, c.automaton.table)) >= places - 1
+    c.known.clear(), c.memory.clear()
+    assert c.encode(text).tolist() == want and len(c.automaton.table) == places
+    monkeypatch.setattr(m, "PLACES", 5)
+    c.known.clear(), c.memory.clear()
+    assert c.encode(text).tolist() == want and len(c.automaton.table) < places
+
+
 def test_query_equals_library(spark, lib):
     docs = {d.doc_id: d.text or "" for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = m.op2_bpe_roundtrip(spark, "/root/testdata/sf0.01").collect()
