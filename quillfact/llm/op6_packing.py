@@ -1,13 +1,14 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Method.  Every source is a queue of tokens; every window of ``WINDOW`` tokens
-gives each queue a quantum in proportion to its target share, and what a queue
+gives each queue a quantum in proportion to its target share (stated, or its tokens
+to the power ``ALPHA``, which raises small sources), and what a queue
 could not be given exactly (a fraction of a token, or a turn it had to wait) is
 its deficit, carried to the next window.  With cuts allowed anywhere this
 schedule has a closed form: the j-th token of queue s falls due at
 (j + 1/2) / share_s, all tokens are served in the order they fall due, and the
-queue's deficit after w windows is its due tokens less its served tokens, always
-under one token while the queue lasts; a queue that is empty gets nothing and
+queue's deficit after w windows is its due tokens less its served tokens, under
+two tokens while the queue lasts (the tests run a plain round-robin beside it); a queue that is empty gets nothing and
 the others share its part.  ``served`` computes a queue's position after any
 window directly, so a task starts with the deficits that all windows before its
 own have left, whichever partition they were filled in.
@@ -19,9 +20,9 @@ function per queue; then each document is cut where the windows say.  Nothing of
 the size of the corpus is sorted or collected.
 
 Every source has a queue.  More than ``QUEUES`` of them form a tree: a schedule
-over blocks of queues says how many tokens of a block each window gets, and the
-block's own schedule goes on from there in the same closed form, so a window costs
-a task ``QUEUES`` numbers a level.  A level adds less than a token to the deficit.
+over blocks of queues, whose share is the sum of theirs, says how many tokens of a
+block each window gets, and the block's own schedule goes on from there in the same
+closed form, so a window costs a task ``QUEUES`` numbers a level.  A level adds less than a token to the deficit.
 What a task holds is one number a source.  Sources with a target share are not in
 the tree: each has its queue in one schedule, and the rest follows when they are
 served.  Full windows have no padding; the last, partial one is cut into sequences
@@ -53,6 +54,8 @@ from .op2_bpe import byte_alphabet
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 1
 WINDOW = 2048
+#: A source's target share is its tokens to this power, over the sum of all.
+ALPHA = 0.7
 #: Queues of one schedule of the tree.
 QUEUES = 64
 #: Numbers in one array of window positions.
@@ -131,7 +134,9 @@ class Schedule:
     def __init__(self, sizes, shares=None):
         self.n = np.array(sizes, np.float64)
         p = np.array(self.n if shares is None else shares, np.float64)
-        self.p = np.where(p > 0, p, p[p > 0].min(initial=1.0)) / max(p.sum(), 1e-300)
+        if (p <= 0).any():
+            raise ValueError("a queue of a schedule needs a share; those without one wait for another schedule")
+        self.p = p / max(p.sum(), 1e-300)
         self.total = int(self.n.sum())
         self.windows = -(-self.total // WINDOW)
 
@@ -154,7 +159,7 @@ class Schedule:
             few = self._due(mid).sum(1) < want[open_]
             low[open_] = np.where(few, mid, low[open_])
             high[open_] = np.where(few, high[open_], mid)
-            wide = self._due(high[open_]).sum(1) - self._due(low[open_]).sum(1) > len(self.n)
+            wide = (self._due(high[open_]) - self._due(low[open_])).max(1, initial=0) > 1
             open_ = open_[wide]
         done = self._due(low)
         more = self._due(high) - done
@@ -195,22 +200,25 @@ class Schedule:
 
 
 class Tree:
-    """Schedules over any number of queues in proportion to their sizes."""
+    """Schedules over any number of queues in proportion to ``shares``, by default their sizes."""
 
-    def __init__(self, sizes):
+    def __init__(self, sizes, shares=None):
         self.sizes, self.block = np.array(sizes, np.int64), None
+        self.shares = np.array(self.sizes if shares is None else shares, np.float64)
         if len(self.sizes) > QUEUES:
-            self.above = Tree(np.add.reduceat(self.sizes, np.arange(0, len(self.sizes), QUEUES)))
+            first = np.arange(0, len(self.sizes), QUEUES)
+            self.above = Tree(np.add.reduceat(self.sizes, first), np.add.reduceat(self.shares, first))
             self.block = QUEUES
             self.below: dict[int, Schedule] = {}
         else:
-            self.only = Schedule(self.sizes)
+            self.only = Schedule(self.sizes, self.shares)
 
     def _blocks(self, q: np.ndarray):
         """(schedule of a block, rows of ``q`` in it)"""
         for b in np.unique(q // self.block).tolist():
             if b not in self.below:
-                self.below[b] = Schedule(self.sizes[b * self.block : (b + 1) * self.block])
+                part = slice(b * self.block, (b + 1) * self.block)
+                self.below[b] = Schedule(self.sizes[part], self.shares[part])
             yield self.below[b], np.flatnonzero(q // self.block == b)
 
     def at(self, want: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +241,13 @@ class Tree:
 
 
 class Mixture:
-    """Queues with target ``shares`` first, as one schedule, then all others by size."""
+    """Queues with target ``shares`` first, as one schedule, then all others by size to the power ``alpha``."""
 
-    def __init__(self, sizes, shares=()):
+    def __init__(self, sizes, shares=(), alpha: float = 1.0):
         self.named, self.total = len(shares), int(sum(sizes))
         self.split = int(sum(sizes[: self.named]))
         self.windows = -(-self.total // WINDOW)
-        self.parts = [Schedule(sizes[: self.named], shares), Tree(sizes[self.named :])]
+        self.parts = [Schedule(sizes[: self.named], shares), Tree(sizes[self.named :], np.array(sizes[self.named :], np.float64) ** alpha)]
 
     def _parts(self, q: np.ndarray):
         """(part, its rows, its queues, tokens of the parts before it, its tokens)"""
@@ -307,18 +315,19 @@ def cut(schedule: Mixture, q: np.ndarray, at: np.ndarray, n: np.ndarray) -> list
     return [row[order], *[x[order] for x in rest]]
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict | None = None, path: str = TOKENIZER) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict | None = None, alpha: float = ALPHA, path: str = TOKENIZER) -> DataFrame:
     """Pieces: doc_id, start, length, ids (uint16 little-endian), doc_tokens, sequence_id, offset, source.
 
-    ``shares`` maps sources to target proportions (others get none until the
-    rest is served); by default each source has its share of all tokens.
+    ``shares`` maps sources to target proportions; others, and those whose share is
+    not above zero, get none until these are served.  Sources without a stated share
+    have their tokens to the power ``alpha`` as theirs (1: the corpus's own mixture).
     """
     docs = materialize(tokenized(df, id_col, text_col, source_col, path), "tokens")
     sums = materialize(docs.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "sums")
     found = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()
     target = {s: p for s, p in (shares or {}).items() if p > 0}
     found.sort(key=lambda r: (r["source"] not in target, -r["tokens"], r["source"] is None, r["source"] or ""))
-    schedule = Mixture([r["tokens"] for r in found], [target[r["source"]] for r in found if r["source"] in target])
+    schedule = Mixture([r["tokens"] for r in found], [target[r["source"]] for r in found if r["source"] in target], alpha)
     queues = df.sparkSession.createDataFrame([(r["source"], k) for k, r in enumerate(found)], "name string, queue int")
     queues = materialize(queues.coalesce(1), "queues")
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
