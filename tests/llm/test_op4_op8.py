@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -78,8 +80,64 @@ def test_langid_cases(spark):
     assert lid.identify(df.limit(0), model).count() == 0
 
 
+def plain_score(counts, text):
+    """The score by plain loops: words first, then the longest n-grams that are known."""
+    langs = sorted({lang for lang, _, _ in counts})
+    parts = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {n: {lang: Counter() for lang in langs} for n in range(5)}
+    for lang, w, c in counts:
+        for n in range(5):
+            for g in parts(w, n):
+                tables[n][lang][g] += c
+    total = dict.fromkeys(langs, 0.0)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for n in (0, 4, 3, 2, 1):
+            known = [g for g in parts(w, n) if any(tables[n][lang][g] for lang in langs)]
+            if known:
+                size = len(set().union(*tables[n].values()))
+                for lang in langs:
+                    seen = sum(tables[n][lang].values())
+                    total[lang] += sum(math.log((tables[n][lang][g] + 0.5) / (seen + 0.5 * size)) for g in known) / len(known)
+                break
+    best = min(langs, key=lambda x: (-total[x], x))
+    return best, 1 / sum(math.exp(t - total[best]) for t in total.values())
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abcdefgh"[k : k + 5]) for _ in range(rng.randint(1, 6)))
+    counts = list({(f"l{k}", word(k)): rng.randint(1, 9) for k in range(4) for _ in range(40)}.items())
+    counts = [(lang, w, c) for (lang, w), c in counts]
+    score = lid.Scorer(lid.Model(counts))
+    for size in (1 << 16, 3):
+        monkeypatch.setattr(lid, "CHUNK", size)
+        for _ in range(300):
+            text = " ".join(rng.choice(counts)[1] if rng.random() < 0.5 else word(rng.randrange(4)) + "é" * (rng.random() < 0.1) for _ in range(rng.randint(1, 12)))
+            got, want = score(text), plain_score(counts, text)
+            assert abs(got[1] - want[1]) < 1e-9 and (got[0] == want[0] or abs(want[1] - 0.5) < 1e-9), text
+
+
+def test_trained_counts_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = Counter((r.lang, w) for r in docs.where("lang IS NOT NULL").collect() for w in lid.words(r.text or ""))
+    want = lid.Model([(lang, w, c) for (lang, w), c in seen.items()])
+    got = lid.train(docs)
+    assert got.langs == want.langs and got.keys == want.keys
+    assert (got.at == want.at).all() and (got.lang == want.lang).all() and (got.more == want.more).all()
+
+
+def test_every_language_and_every_word_is_learned(spark):
+    """More languages than the old cap of 500, one text of words seen once each."""
+    rows = [(k, f"mot{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} un{chr(97 + k % 26)}{chr(97 + k // 26)}", f"l{k:03}") for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.train(df)
+    assert model.langs == sorted(r[2] for r in rows)
+    got = {r.doc_id: r.lang_pred for r in lid.identify(df, model).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) == 700
+
+
 def test_backoff_is_word_then_longest_gram():
-    m = lid.Model([("en", "thing", 5), ("fr", "chose", 5)])
-    assert (m.vector("thing") == m.rows[0][m.keys[0]["thing"]]).all()
-    assert (m.vector("xing") == m.rows[4][[m.keys[4]["ing$"]]].mean(0)).all()
-    assert (m.vector("zzz") == 0).all()
+    m = lid.Scorer(lid.Model([("en", "thing", 5), ("fr", "chose", 5)]))
+    assert m.total(["thing"])[0] > m.total(["thing"])[1]
+    assert m._grams("xing") == (4, [m.model.keys[4]["ing$"]])
+    assert m._grams("zzz") == (0, []) and (m.total(["zzz"]) == 0).all()
