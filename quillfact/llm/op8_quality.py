@@ -9,8 +9,13 @@ what it covers is removed and the next is grown.  The ordered list is emitted
 as one Spark conditional expression over the statistics, so applying it is a
 plain projection.
 
+Nothing but gain, pruning and precision ends a rule or the list.
+
 Fitting uses at most ``MAX_TRAIN`` labelled rows (those with the least hash of
-their id); statistics and verdicts cover every row and the whole of each text.
+their id; of several texts of one id, that with the least statistics); statistics
+and verdicts cover every row and the whole of each text.  Texts are read in pieces
+and words kept as 64-bit hashes, so that a text of any length needs some 60 bytes a
+word at most.
 
 Defined cases: null text counts as empty and fails the base rule; labels that
 are null are ignored, contradicting labels of one id are decided by majority
@@ -21,6 +26,7 @@ table gives an empty result; clashing extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -34,13 +40,15 @@ from .common import arrow_map, pick, texts
 MAX_TRAIN = 20_000
 MIN_PRECISION = 0.97
 MIN_COVER = 5
-MAX_RULES = 24
-MAX_CONDITIONS = 4
 WINDOW_WORDS = 5
 SYMBOLS = "#*$%&|<>"
+PIECE = 1 << 20  # bytes of a text split into words or lines at once
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_bangs", "n_stops", "n_distinct"]
 
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+LINE_END = re.compile(rb"\n")
+
 #: Threshold features as SQL over the statistics.
 FEATURES = {
     "n_words": "double(n_words)",
@@ -57,41 +65,52 @@ FEATURES = {
 }
 
 
-def repeat_words(words: list) -> int:
-    """Words that lie in a window of five words found at least twice in the text."""
-    if len(words) <= WINDOW_WORDS:
+def repeat_words(words: np.ndarray) -> int:
+    """Words, given by their hashes, that lie in a window of five found at least twice in the text."""
+    n = len(words) - WINDOW_WORDS + 1
+    if n < 2:
         return 0
-    windows = list(zip(*(words[k:] for k in range(WINDOW_WORDS))))
-    distinct = set(windows)
-    if len(distinct) == len(windows):
+    window = np.zeros(n, np.uint64)
+    for k in range(WINDOW_WORDS):
+        window = window * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    order = np.argsort(window)
+    same = window[order[1:]] == window[order[:-1]]
+    if not same.any():
         return 0
-    seen, twice = set(), set()
-    for w in windows:
-        (twice if w in seen else seen).add(w)
-    total = end = 0
-    for i, w in enumerate(windows):
-        if w in twice:
-            total += i + WINDOW_WORDS - max(i, end)
-            end = i + WINDOW_WORDS
-    return total
+    twice = np.zeros(n, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    covered = np.zeros(len(words), bool)
+    for k in range(WINDOW_WORDS):
+        covered[k : k + n] |= twice
+    return int(covered.sum())
+
+
+def _pieces(raw: bytes, end: re.Pattern):
+    """The bytes in pieces of about ``PIECE``, each ending with a match of ``end``."""
+    at = 0
+    while at < len(raw):
+        m = end.search(raw, at + PIECE)
+        to = m.end() if m else len(raw)
+        yield raw[at:to]
+        at = to
 
 
 def text_stats(text: str) -> tuple:
     """The values of ``STATS`` for one text."""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # bytes split on space and \x09-\x0d only
     by = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    seen, dup, lines = set(), 0, 0
-    for line in raw.split(b"\n"):
-        if line.strip():
-            lines += 1
-            if line in seen:
-                dup += 1
-            seen.add(line)
+    # bytes split on space and \x09-\x0d only
+    words = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(map(hash, part.split()), np.int64) for part in _pieces(raw, SPACE)]]).view(np.uint64)
+    seen, lines = set(), 0
+    for part in _pieces(raw, LINE_END):
+        for line in (part[:-1] if part.endswith(b"\n") else part).split(b"\n"):
+            if line.strip():
+                lines += 1
+                seen.add(hash(line))
     count = lambda chars: int(sum(by[ord(c)] for c in chars))
     return (
-        len(words), len(text) - int(by[9:14].sum() + by[32]), count(SYMBOLS), dup, repeat_words(words),
-        lines, int(by[65:91].sum()), int(by[48:58].sum()), count("!"), count(".?"), len(set(words)),
+        len(words), len(text) - int(by[9:14].sum() + by[32]), count(SYMBOLS), lines - len(seen), repeat_words(words),
+        lines, int(by[65:91].sum()), int(by[48:58].sum()), count("!"), count(".?"), len(np.unique(words)),
     )
 
 
@@ -161,9 +180,9 @@ def _all(conds, x, n) -> np.ndarray:
 def learn(x: dict[str, np.ndarray], reject: np.ndarray, fold: np.ndarray) -> list[list[Condition]]:
     """Ordered conjunctions for rejection.  ``fold`` true: rows that prune."""
     n, left, rules, features = len(reject), np.ones(len(reject), bool), [], list(x)
-    while len(rules) < MAX_RULES:
+    while True:
         rows, conds = np.nonzero(left & ~fold)[0], []
-        while len(conds) < MAX_CONDITIONS and reject[rows].any() and not reject[rows].all():
+        while reject[rows].any() and not reject[rows].all():
             _, c = _best(x, reject, rows, features)
             if c is None:
                 break
@@ -197,7 +216,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # at most MAX_TRAIN rows of an id and a flag: a proven bound
     labelled = docs.join(F.broadcast(sample), "doc_id")
     got = stats(labelled, keep={"doc_id": "doc_id", "reject": "reject"}).where(~base_failed())
-    rows = got.select("doc_id", "reject", *[F.expr(s).alias(f) for f, s in FEATURES.items()]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(MAX_TRAIN).toPandas()
+    row = F.struct(*[F.expr(s).alias(f) for f, s in FEATURES.items()], "reject")
+    # one row an id, so MAX_TRAIN at most, and the same whatever the order of rows
+    rows = got.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").orderBy("doc_id").toPandas()
     fold = np.array([zlib.crc32(str(i).encode()) % 3 == 0 for i in rows["doc_id"]], bool)
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["reject"].to_numpy(bool), fold)
 

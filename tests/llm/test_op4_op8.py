@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillfact.llm import op4_langid as lid
 from quillfact.llm import op8_quality as q
@@ -37,6 +38,68 @@ def test_decision_list_learns(spark):
     assert (~got[got.quality == 0].kept).mean() > 0.9
 
 
+def test_rules_hold_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    got = q.judge(docs, q.fit(docs, labels.where(part != 1))).join(labels.where(part == 1), "doc_id").where("NOT base_failed").select("kept", "quality").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert len(good) > 100 and good.kept.mean() > 0.98
+    assert len(bad) < 20 or (~bad.kept).mean() > 0.8
+
+
+def plain_verdict(rules, t):
+    """Whether one text is kept, from its characters and the list, without Spark."""
+    n, chars, symbols, dups, repeated = plain_stats(t)
+    w = (t or "").split() if (t or "").isascii() else re.findall(r"[^\x20\x09-\x0d]+", t or "")
+    lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in (t or "").split("\n")))
+    per = lambda k, by: k / max(by, 1)
+    x = {
+        "n_words": n, "mean_word_chars": per(chars, n), "symbols_per_word": per(symbols, n), "dup_line_share": per(dups, lines), "repeat_share": per(repeated, n),
+        "upper_share": per(len(re.findall("[A-Z]", t or "")), chars), "digit_share": per(len(re.findall("[0-9]", t or "")), chars), "bangs_per_word": per((t or "").count("!"), n),
+        "stops_per_word": per(len(re.findall("[.?]", t or "")), n), "distinct_share": per(len(set(w)), n), "words_per_line": per(n, lines),
+    }
+    if n < 10 or 100 * repeated > 20 * n:
+        return False
+    return not any(all(x[c.feature] > c.value if c.above else x[c.feature] <= c.value for c in rule) for rule in rules)
+
+
+def test_kept_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = q.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.kept for r in q.op8_quality_rules(spark, SF).collect()}
+    assert got == {i: plain_verdict(rules, t) for i, t in texts.items()}
+
+
+def test_list_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = docs.selectExpr("doc_id", "concat(text, ' more') as text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = q.fit(docs.select("doc_id", "text").union(other).repartition(7), labels)
+    b = q.fit(other.union(docs.select("doc_id", "text")).repartition(3), labels)
+    assert a == b and a
+
+
+def test_more_rules_and_conditions_than_the_old_caps():
+    rng = np.random.default_rng(1)
+    x = {f"f{k}": rng.random(60_000) for k in range(2)}
+    y = (np.floor(x["f0"] * 60) % 2 == 0)  # 30 intervals, a rule each
+    rules = q.learn(x, y, np.arange(60_000) % 3 == 0)
+    assert len(rules) > 24
+    assert (np.logical_or.reduce([q._all(r, x, 60_000) for r in rules]) == y).mean() > 0.95
+
+
+def test_very_long_text():
+    words = " ".join(f"w{k}" for k in range(3_000_000))
+    tail = " ".join(["again and once again now"] * 2)
+    got = q.text_stats(words + " " + tail + "\n" + "line x\n" * 3)
+    assert got[0] == 3_000_000 + 10 + 6 and got[3] == 2 and got[4] == 10 + 0
+    for size in (1, 7, 1 << 20):
+        q.PIECE, keep = size, q.PIECE
+        assert [q.text_stats(t)[:5] for t in ("a b c d e a b c d e\nx\n\nx", "ab  cd\n", "\n", " ", "")] == [plain_stats(t) for t in ("a b c d e a b c d e\nx\n\nx", "ab  cd\n", "\n", " ", "")]
+        q.PIECE = keep
+
+
 def test_rules_equal_expression(spark):
     rng = np.random.default_rng(0)
     x = {"n_words": rng.integers(1, 100, 400).astype(float), "repeat_share": rng.random(400)}
