@@ -67,10 +67,12 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     copies = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = materialize(copies.select("digest", "least"), "copies")
     joined = rows.join(copies.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & long_enough, "left")
-    # rows of the least id itself: usually one; of repeated rows one is the response
+    # rows of the least id itself: usually one; of repeated rows, counted before they are put in order, one is the response
     least = joined.where(F.col("d").isNotNull() & F.col("page_id").eqNullSafe(F.col("least")))
+    counted = least.groupBy("digest", "page_id", "url", "least", "bytes").agg(F.first("html").alias("html"), F.count("*").alias("n"))
     turn = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("url").asc_nulls_last()))
-    same = least.select("page_id", "url", "html", "bytes", "digest", "least", (turn > 1).alias("again"))
+    same = counted.withColumn("turn", turn).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    same = same.select("page_id", "url", "html", "bytes", "digest", "least", ((F.col("turn") > 1) | (F.col("k") > 1)).alias("again"))
     others = joined.where(F.col("d").isNull() | ~F.col("page_id").eqNullSafe(F.col("least")))
     both = same.unionByName(others.select("page_id", "url", "html", "bytes", "digest", "least", F.col("d").isNotNull().alias("again")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -225,7 +227,7 @@ def read(spark: SparkSession, path) -> DataFrame:
     marked = placed.join(entries.withColumn("entry", F.lit(True)), ["file", "offset"], "left")
     marked = marked.repartition("file", "block").sortWithinPartitions("file", "block", "offset")
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    walked = ["file", "offset", "next", "len", "whole", *_RECORD_COLS]
+    walked = ["file", "block", "offset", "next", "len", "whole", *_RECORD_COLS]
 
     def walk(batches):
         here, at, owner = None, None, None
@@ -251,7 +253,8 @@ def read(spark: SparkSession, path) -> DataFrame:
 def _mended(spark: SparkSession, files: list[str], cut: DataFrame, true: DataFrame, blocks: DataFrame) -> DataFrame:
     """Records with a version line inside: their pieces read again and joined.
 
-    ``files`` are names of archives that hold such records, not data.
+    ``files`` are names of archives that hold such records, not data: no more than
+    the listing of the archives that Spark's driver holds in any case.
     """
     magic = MAGIC.encode()
 
@@ -272,9 +275,10 @@ def _mended(spark: SparkSession, files: list[str], cut: DataFrame, true: DataFra
 
     pieces = arrow_map(_pieces(spark, files), "file string, block long, at long, value binary", offsets)
     pieces = pieces.join(blocks.select("file", "block", "base"), ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("offset"), "value")
-    # the record a piece belongs to: the last on the chain that begins at or before it
-    last = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    owned = true.select("file", "offset", F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(last).alias("start"))
+    # the record a piece belongs to: the last on the chain that begins at or before it, in its split or in one before
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = true.groupBy("file", "block").agg(F.max("owner").alias("own")).select("file", "block", F.last("own", ignorenulls=True).over(earlier).alias("carried"))
+    owned = true.join(carried, ["file", "block"]).select("file", "offset", F.coalesce("owner", "carried").alias("start"))
     owned = owned.join(cut, ["file", "start"], "left_semi")
     parts = pieces.join(owned, ["file", "offset"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
 
