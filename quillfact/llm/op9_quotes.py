@@ -73,7 +73,8 @@ def replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked): the messages whose quotations have a source."""
     keyed = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     lines = keyed.select("conv_id", "turn", F.explode("lines").alias("l")).where("l.said <> ''")
-    lines = lines.select("conv_id", "turn", F.col("l.level").alias("level"), F.md5("l.said").alias("passage"))
+    # own and quoted lines from one reading of the messages, hashes alone
+    lines = materialize(lines.select("conv_id", "turn", F.col("l.level").alias("level"), F.unhex(F.md5("l.said")).alias("passage")), "lines")
     sources = lines.where("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("source"))
     quoted = lines.where("level > 0").groupBy("conv_id", "turn", "level", "passage").agg(F.count("*").alias("n"))
     linked = quoted.join(sources, ["conv_id", "passage"]).where("source < turn")
