@@ -21,23 +21,29 @@ _created: list[tuple[object, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests on one machine) is a folder of
-    our own set.
+    Only where that setting is absent on one machine, as in tests, is a folder of
+    our own set; on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillfact-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _delete(jvm, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
+
+
 def _sweep() -> None:
     for jvm, path in _created:
         try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
+            _delete(jvm, path)
         except Exception:  # the session has gone: the folder's owner clears it
             return
 
@@ -47,7 +53,7 @@ atexit.register(_sweep)
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quillfact-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/quillfact-{uuid.uuid4().hex}-{name}"
     _created.append((spark.sparkContext._jvm, path))
     return path
 
@@ -59,10 +65,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Catalyst the exact size of the table, so that a later join is broadcast
     only if that size is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    _delete(spark.sparkContext._jvm, path)
+    _created[:] = [x for x in _created if x[1] != path]
 
 
 def col(name: str):
@@ -108,12 +124,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has two comparable columns a, b; nodes without edges are absent.
     Alternates large-star and small-star steps (Kiveris et al., 2014), which
     end after a logarithmic number of rounds on graphs met in practice.  Each
-    round is written to the shared folder, so lineage stays short; nothing but
-    a count and a checksum reaches the driver.
+    round is written to the shared folder, so lineage stays short, and the round
+    before it is removed; nothing but a count and a checksum reaches the driver.
+    The edges of a hub, which meet its one least neighbour, are split over tasks by
+    adaptive execution where they are more than a partition's size.
     """
     a, b = F.col("a"), F.col("b")
     kind = edges.schema["a"].dataType
-    cur = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    cur, path = _written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     last = None
     for _ in range(max_rounds):
         both = cur.select(a, b).union(cur.select(b.alias("a"), a.alias("b")))
@@ -123,7 +142,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_in = large.where(a != b).distinct()
         low2 = small_in.groupBy("a").agg(F.min("b").alias("m"))
         small = small_in.join(low2, "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
-        cur = materialize(small.where(a != b).select("a", "b").distinct(), "edges")
+        before = path
+        cur, path = _written(small.where(a != b).select("a", "b").distinct(), "edges")
+        _discard(spark, before)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == last:
             break
