@@ -120,11 +120,11 @@ class Engine:
     def run_query(self, text: str, language: str = "core", action: str = "execute", offset: int | None = None, limit: int | None = None) -> Outcome:
         """execute, validate or explain a query of either language, under the limits."""
         if (size := len(text.encode())) > self.limits.max_query_length:
-            return self._failed("query_too_long", f"Query is too long: {size} bytes (maximum {self.limits.max_query_length}). Try splitting it into smaller queries.")
+            return self._failed("query_too_long", f"The text has {size} bytes; {self.limits.max_query_length} are allowed.")
         if action not in ("execute", "validate", "explain"):
-            return self._failed("unknown_action", f"Unknown action '{action}' (expected 'execute', 'validate', or 'explain')")
+            return self._failed("unknown_action", f"{action!r} is none of the actions execute, validate, explain")
         if language not in ("core", "dsl"):
-            return self._failed("unknown_language", f"Unknown language '{language}' (expected 'core' or 'dsl')")
+            return self._failed("unknown_language", f"{language!r} is none of the languages core, dsl")
         try:
             if language == "dsl":
                 query, warnings = self.parse(text, "dsl")
@@ -152,7 +152,7 @@ class Engine:
     def _limited(self, work) -> Outcome:
         """Run within the time and the number of queries allowed; Spark jobs are cancelled by tag."""
         if not self._slots.acquire(blocking=False):
-            return self._failed("server_busy", "Too many concurrent queries; please retry shortly.")
+            return self._failed("server_busy", "All query slots are taken; ask again in a moment.")
         spark, tag = self.catalog.spark, f"query-{uuid.uuid4().hex}"
 
         def tagged():
@@ -167,7 +167,7 @@ class Engine:
             return pool.submit(tagged).result(self.limits.query_timeout)
         except Late:
             spark.interruptTag(tag)
-            return self._failed("timeout", f"Query timeout after {self.limits.query_timeout:.0f} seconds - query too expensive. Try limiting predicates or adding more specific constraints.")
+            return self._failed("timeout", f"No result within {self.limits.query_timeout:g} seconds. More constants or fewer patterns make a query cheaper.")
         except R.QueryError as e:
             return self._failed("execution_error", str(e))
         finally:
@@ -189,7 +189,7 @@ class Engine:
         rows = [json.loads(r["value"]) for r in R.as_json(paged, False).collect()]
         body = {"variables": query.variables, "results": rows, "count": len(rows)}
         if single:  # of a join the total is not counted
-            total = R.arranged(bindings, query).df.limit(self.limits.max_intermediate_results).count()
+            total = R.arranged(bindings, query).df.count()
             body |= {"total": total} | ({"offset": offset} if offset is not None else {}) | {"limit": page}
         return Outcome("ok", body | self._environment("core"))
 

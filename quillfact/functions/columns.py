@@ -145,7 +145,7 @@ def ordered(a: Term, op: str, b: Term) -> tuple[Column, Column | None]:
     fits = F.lit(False)
     for x, y in sorted(good):
         fits = fits | ((ta == x) & (tb == y))
-    return fits & holds, F.when(~fits, F.concat(F.lit("Cannot compare a "), ta, F.lit(" with a "), tb, F.lit(".")))
+    return fits & holds, F.when(~fits, F.concat(ta, F.lit(" and "), tb, F.lit(" have no common order.")))
 
 
 def sort_keys(t: Term) -> list[Column]:

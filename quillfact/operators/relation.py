@@ -25,7 +25,7 @@ from ..functions.columns import MIXED, OPS, Term, equal, lift, lifted, literal,
 from ..functions.values import ORDERED, comparable, order_failure
 from ..plans import ast as A
 from ..plans.explain import Access
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, Predicate
 
 _ids = itertools.count()
 
@@ -84,6 +84,48 @@ def _in_range(t: Term, path: Access) -> Column:
     return keep
 
 
+def _facts(p: Predicate, pattern: A.Pattern, path: Access | None) -> DataFrame:
+    """The facts of a predicate that a pattern and its access path allow, columns as the predicate has them.
+
+    A predicate of several parts reads only those that hold values of the types
+    asked for, each by its own columns.
+    """
+    given = {i: t.value for i, t in enumerate(pattern.args) if isinstance(t, A.Lit)}
+    if path is not None and path.kind == "equal":
+        given.setdefault(path.position, path.value)
+    ranged = path is not None and path.kind == "range"
+    tests, bounds = [], []
+    if ranged:
+        tests.append(_in_range(p.term(path.position), path))
+    if p.parts:
+        fits = lambda q: all(v.type in q.types[i] for i, v in given.items()) and not (ranged and not q.types[path.position] & ORDERED)
+        rows = None
+        for q in filter(fits, p.parts):
+            cols = [(F.col(f"a{i}") if q.kinds[i] == k else lift(q.term(i))).alias(f"a{i}") for i, k in enumerate(p.kinds)]
+            part = _facts(q, pattern, path).select(*cols)
+            rows = part if rows is None else rows.unionAll(part)
+        if rows is None:
+            return p.df.where(F.lit(False))
+        return rows if p.apart else rows.distinct()
+    for i, v in given.items():
+        tests.append(equal(p.term(i), literal(v)))
+        bounds += p.bounds(i, "=", v)
+    if ranged:
+        for op, end in ((">", path.low), ("<", path.high)):
+            if end is not None:
+                bounds += p.bounds(path.position, op + "=" * end[1], end[0])
+    seen: dict[str, int] = {}
+    for i, t in enumerate(pattern.args):
+        if isinstance(t, A.Var):
+            if t.name in seen:
+                tests.append(equal(p.term(seen[t.name]), p.term(i)))
+            seen.setdefault(t.name, i)
+    df = p.within(bounds)
+    for t in tests:
+        df = df.where(t)
+    return df
+
+
 def scan(catalog: Catalog, pattern: A.Pattern, path: Access | None = None) -> Relation:
     """One row per matching fact; wildcards bind nothing and drop no duplicate."""
     p = catalog.get(pattern.predicate)
@@ -92,16 +134,11 @@ def scan(catalog: Catalog, pattern: A.Pattern, path: Access | None = None) -> Re
         named = {v: Binding(f"v{next(_ids)}", "atom", frozenset()) for v in variables}
         schema = ", ".join(f"{b.column} string" for b in named.values()) or "none string"
         return Relation(catalog.spark.createDataFrame([], schema), named)
-    df, at = p.df, {}
+    at: dict[str, int] = {}
     for i, t in enumerate(pattern.args):
-        if isinstance(t, A.Lit):
-            df = df.where(equal(p.term(i), literal(t.value)))
-        elif isinstance(t, A.Var):
-            if t.name in at:
-                df = df.where(equal(p.term(at[t.name]), p.term(i)))
+        if isinstance(t, A.Var):
             at.setdefault(t.name, i)
-    if path is not None and path.kind == "range":
-        df = df.where(_in_range(p.term(path.position), path))
+    df = _facts(p, pattern, path)
     named = {v: Binding(f"v{next(_ids)}", p.kinds[i], p.types[i]) for v, i in at.items()}
     return Relation(df.select(*[F.col(f"a{i}").alias(named[v].column) for v, i in at.items()]), named)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import math
 import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import MIXED, NATIVE, Term, canonical, from_struct, lift, order_key, sql_type
-from ..functions.values import ORDERED
+from ..functions.values import ORDERED, Value
 from . import facts as text
 
 #: Spark type -> value type, unless told otherwise.
@@ -22,6 +24,50 @@ class CatalogError(ValueError):
     """Facts that make no predicate."""
 
 
+@dataclass(frozen=True)
+class Source:
+    """Columns (name, Spark type) of a DataFrame and what they become as positions."""
+
+    df: DataFrame
+    columns: tuple[tuple[str, str], ...]
+    positions: tuple[Column, ...]
+    distinct: bool
+
+    def facts(self, bounds=()) -> DataFrame:
+        df = self.df
+        for b in bounds:
+            df = df.where(b)
+        df = df.select(*self.positions)
+        return df.distinct() if self.distinct else df
+
+
+def _first_day(month: int) -> dt.date | None:
+    """The first day of a month counted from year 0, None if Python has no such day."""
+    return dt.date(month // 12, month % 12 + 1, 1) if 12 <= month < 120_000 else None
+
+
+def _outer_bounds(column: str, source: str, kind: str, op: str, value: Value) -> list[Column]:
+    col = F.col(f"`{column}`")
+    if op == "=":
+        return [b for o in (">=", "<=") for b in _outer_bounds(column, source, kind, o, value)] if value.type == kind else []
+    if kind in ("year", "year_month") and source in ("date", "timestamp", "timestamp_ntz") and value.type in (kind, "integer"):
+        if kind == "year":
+            first, months = int(value.order) * 12, 12
+        else:
+            if value.type != kind:
+                return []
+            year, month = value.text.rsplit("-", 1)
+            first, months = int(year) * 12 + int(month) - 1, 1
+        day = _first_day(first + months * (op in ("<=", ">")))
+        return [] if day is None else [col >= F.lit(day) if op in (">", ">=") else col < F.lit(day)]
+    if kind == "decimal" and source == "double" and value.type in ("decimal", "integer"):
+        # two steps out: the decimal of a double is its shortest text, within half a step of it
+        x, way = float(value.order), -math.inf if op in (">", ">=") else math.inf
+        x = math.nextafter(math.nextafter(x, way), way)
+        return [col >= F.lit(x) if way < 0 else col <= F.lit(x)]
+    return []
+
+
 @dataclass(frozen=True)
 class Predicate:
     """``df`` has columns a0, a1, …: distinct facts without nulls."""
@@ -31,6 +77,9 @@ class Predicate:
     kinds: tuple[str, ...]
     types: tuple[frozenset, ...]
     home: str | None = None  # folder of a store that holds exactly these facts
+    source: Source | None = None  # the columns that a registered DataFrame has for them
+    parts: tuple[Predicate, ...] = ()  # the predicates whose facts these are, if they are those of several
+    apart: bool = True  # no fact is in two parts
 
     @property
     def arity(self) -> int:
@@ -43,6 +92,17 @@ class Predicate:
         """All positions as structs of tag, canonical text and order key."""
         return self.df.select(*[lift(self.term(i)).alias(f"a{i}") for i in range(self.arity)])
 
+    def bounds(self, i: int, op: str, value: Value) -> list[Column]:
+        """Conditions on the source's own column that every fact with ``a{i} op value`` meets.
+
+        They add nothing to the result; unlike tests of a computed column they reach the scan.
+        """
+        return [] if self.source is None else _outer_bounds(*self.source.columns[i], self.kinds[i], op, value)
+
+    def within(self, bounds: list[Column]) -> DataFrame:
+        """The facts, less some that don't meet the bounds."""
+        return self.df if self.source is None or not bounds else self.source.facts(bounds)
+
     def with_ids(self) -> DataFrame:
         """Facts with their id: a digest of name, arity and typed arguments."""
         parts = [F.lit(f"{self.name}/{self.arity}")] + [F.concat(F.lit("|"), s["t"], F.lit(":"), s["c"]) for s in (lift(self.term(i)) for i in range(self.arity))]
@@ -93,7 +153,7 @@ class Catalog:
         which saves a shuffle.
         """
         columns, kinds = columns or df.columns, kinds or {}
-        found, cols = [], []
+        found, cols, plain = [], [], []
         for i, c in enumerate(columns):
             source = df.schema[c].dataType.simpleString()
             kind = kinds.get(c) or INFERRED.get(source) or ("integer" if source in ("tinyint", "smallint", "int", "bigint") else None)
@@ -102,10 +162,11 @@ class Catalog:
                 raise CatalogError(f"{name}: no value type for column {c} of type {source}")
             found.append(kind)
             cols.append(_cast(F.col(f"`{c}`"), kind, source).alias(f"a{i}"))
+            plain.append((c, source))
         for c in () if complete else columns:
             df = df.where(F.col(f"`{c}`").isNotNull())
-        out = df.select(*cols)
-        return self._put(name, out.distinct() if distinct else out, tuple(found), tuple(frozenset((k,)) for k in found))
+        source = Source(df, tuple(plain), tuple(cols), distinct)
+        return self._put(name, source.facts(), tuple(found), tuple(frozenset((k,)) for k in found), source=source)
 
     def union(self, name: str, parts: list[str]) -> Predicate:
         """A predicate of the facts of several of one arity; positions of several
@@ -120,10 +181,10 @@ class Catalog:
             cols = [(F.col(f"a{i}") if p.kinds[i] == k else lift(p.term(i))).alias(f"a{i}") for i, k in enumerate(kinds)]
             out = p.df.select(*cols) if out is None else out.unionAll(p.df.select(*cols))
         apart = any(not frozenset.intersection(*(p.types[i] for p in ps)) for i in range(len(kinds)))
-        return self._put(name, out if apart else out.distinct(), kinds, types)
+        return self._put(name, out if apart else out.distinct(), kinds, types, parts=tuple(ps), apart=apart)
 
-    def _put(self, name, df, kinds, types, home=None) -> Predicate:
-        self.predicates[name] = p = Predicate(name, df, kinds, types, home)
+    def _put(self, name, df, kinds, types, home=None, **more) -> Predicate:
+        self.predicates[name] = p = Predicate(name, df, kinds, types, home, **more)
         return p
 
     # -- facts as text ----------------------------------------------------------------
