@@ -139,10 +139,11 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT N FROM (SELECT CAST(c_nationkey AS BIGINT) N, max(c_acctbal) b FROM customer GROUP BY 1 ORDER BY b DESC LIMIT 5)",
     ),
     "order_limit": ("find P, S\nwhere\n  part_size(P, S)\norder by S desc, P asc\nlimit 25", "SELECT p_partkey P, CAST(p_size AS BIGINT) S FROM part ORDER BY p_size DESC, p_partkey LIMIT 25"),
+    "order_text_limit": ("find S, Name\nwhere\n  customer(C, Name, _, _, S)\norder by S, Name desc\nlimit 25", "SELECT c_mktsegment S, c_name Name FROM customer ORDER BY c_mktsegment, c_name DESC LIMIT 25"),
     "limit_offset": ("find O, D\nwhere\n  order_date(O, D)\norder by D, O\noffset 100\nlimit 40", "SELECT o_orderkey O, strftime(o_orderdate, '%Y-%m-%d') D FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 40 OFFSET 100"),
     "order_nulls_last": (
-        'find C, O\nwhere\n  customer_segment(C, "BUILDING")\n  optional\n    order_customer(O, C)\n    O < 2000\norder by O descending, C\nlimit 60',
-        "SELECT c_custkey C, o_orderkey O FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey < 2000 WHERE c_mktsegment = 'BUILDING' ORDER BY O DESC NULLS LAST, C LIMIT 60",
+        'find C, O\nwhere\n  customer_segment(C, "BUILDING")\n  optional\n    orders(O, C, "P", _, _, _)\norder by O descending, C',
+        "SELECT c_custkey C, o_orderkey O FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING' ORDER BY O DESC NULLS LAST, C",
     ),
     "optional_one": (
         "find C, O\nwhere\n  customer_nation(C, 7)\n  optional\n    order_customer(O, C)",
@@ -157,8 +158,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT s_suppkey S, c_custkey C FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal",
     ),
     "optional_shared": (
-        "find N, S, C\nwhere\n  nation(N, _, 1)\n  optional\n    supplier_nation(S, N)\n    S < 20\n  optional\n    customer_nation(S, N)\n    customer_nation(C, N)\n    C < 40",
-        "SELECT N, coalesce(a.S, x.S) S, x.C FROM (SELECT CAST(n_nationkey AS BIGINT) N, s_suppkey S FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 20 WHERE n_regionkey = 1) a LEFT JOIN (SELECT p.c_nationkey k, p.c_custkey S, q.c_custkey C FROM customer p JOIN customer q ON p.c_nationkey = q.c_nationkey AND q.c_custkey < 40) x ON k = N AND (a.S IS NULL OR a.S = x.S)",
+        "find N, S, C\nwhere\n  nation(N, _, 1)\n  optional\n    supplier(S, _, N, B)\n    B > 9000\n  optional\n    customer_nation(S, N)\n    customer(C, _, N, A, _)\n    A > 9990",
+        "SELECT N, coalesce(a.S, x.S) S, x.C FROM (SELECT CAST(n_nationkey AS BIGINT) N, s_suppkey S FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 WHERE n_regionkey = 1) a LEFT JOIN (SELECT p.c_nationkey k, p.c_custkey S, q.c_custkey C FROM customer p JOIN customer q ON p.c_nationkey = q.c_nationkey AND q.c_acctbal > 9990) x ON k = N AND (a.S IS NULL OR a.S = x.S)",
     ),
     "not_anti": (
         "find C, Name\nwhere\n  customer(C, Name, N, _, _)\n  not\n    customer_nation(C, N)\n    nation(N, _, 2)",
@@ -173,16 +174,16 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey C FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2",
     ),
     "either_missing_vars": (
-        "find N, S, C\nwhere\n  nation(N, _, 3)\n  either\n    supplier_nation(S, N)\n  or\n    customer_nation(C, N)\n    C < 300",
-        "SELECT CAST(n_nationkey AS BIGINT) N, s_suppkey S, CAST(NULL AS BIGINT) C FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 3 UNION ALL SELECT CAST(n_nationkey AS BIGINT), NULL, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 3 AND c_custkey < 300",
+        "find N, S, C\nwhere\n  nation(N, _, 3)\n  either\n    supplier_nation(S, N)\n  or\n    customer_nation(C, N)",
+        "SELECT CAST(n_nationkey AS BIGINT) N, s_suppkey S, CAST(NULL AS BIGINT) C FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 3 UNION ALL SELECT CAST(n_nationkey AS BIGINT), NULL, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 3",
     ),
     "either_types": (
         "find E, V\nwhere\n  event(E, _, 5, _, _)\n  either\n    event_value(E, V)\n  or\n    event_type(E, V)",
         "SELECT event_id E, 'decimal' V_type, CASE WHEN contains(CAST(value AS VARCHAR), '.') THEN rtrim(rtrim(CAST(value AS VARCHAR), '0'), '.') ELSE CAST(value AS VARCHAR) END V FROM events WHERE user_id = 5 UNION ALL SELECT event_id, 'atom', event_type FROM events WHERE user_id = 5",
     ),
     "groups_together": (
-        "find distinct Name, O\nwhere\n  customer(C, Name, N, B, _)\n  B >= 0\n  nation(N, _, 0)\n  optional\n    order_customer(O, C)\n    order_year(O, @1996)\n  not\n    customer_segment(C, \"MACHINERY\")\norder by Name, O\nlimit 50",
-        "SELECT DISTINCT c_name Name, o_orderkey O FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1996 WHERE c_acctbal >= 0 AND n_regionkey = 0 AND c_mktsegment <> 'MACHINERY' ORDER BY Name, O NULLS LAST LIMIT 50",
+        "find distinct Name, O\nwhere\n  customer(C, Name, N, B, _)\n  B >= 0\n  nation(N, _, 0)\n  optional\n    order_customer(O, C)\n    order_year(O, @1996)\n  not\n    customer_segment(C, \"MACHINERY\")\norder by Name, O",
+        "SELECT DISTINCT c_name Name, o_orderkey O FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1996 WHERE c_acctbal >= 0 AND n_regionkey = 0 AND c_mktsegment <> 'MACHINERY' ORDER BY Name, O NULLS LAST",
     ),
 }
 
