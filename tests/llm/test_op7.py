@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import json
 import random
 import re
+import zlib
 
 from quillfact.llm import op7_secrets as m
 
@@ -101,3 +103,44 @@ def test_query_and_cases(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "token=abcdef1", 2), (1, "token=abcdef1", 2)], "doc_id long, text string, spans int")
     rows = m.scan(df).collect()
     assert sorted(len(r.spans) for r in rows) == [0, 1, 1] and m.scan(df.limit(0)).count() == 0
+
+
+def plain_added(text):
+    """Added kinds whose tokens embed a checksum or a header, by searches of the whole text."""
+    out, digits = [], "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for kind, pattern in (("github", r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), ("npm", r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")):
+        for x in re.finditer(pattern, text):
+            n = zlib.crc32(x[0][4:34].encode())
+            if "".join(digits[n // 62**k % 62] for k in range(5, -1, -1)) == x[0][34:]:
+                out.append((x.start(), kind, x.end()))
+    for x in re.finditer(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text):
+        try:
+            head = json.loads(base64.urlsafe_b64decode(x[0].split(".")[0] + "=="))
+        except ValueError:
+            continue
+        if isinstance(head, dict) and "alg" in head:
+            out.append((x.start(), "jwt", x.end()))
+    return sorted(out)
+
+
+def test_added_kinds_equal_plain_search():
+    rng = random.Random(8)
+    body = lambda n: "".join(rng.choice("abcXYZ0189") for _ in range(n))
+    coded = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+
+    def piece():
+        b = body(30)
+        good = m.crc_digits(b)
+        jwt = lambda head: f"{coded(head)}.{coded({'sub': body(5)})}.{body(20)}"
+        return rng.choice([
+            f"ghp_{b}{good}", f"npm_{b}{good}", f"ghs_{b}{good[:-1]}{'0' if good[-1] != '0' else '1'}", f"npm_{b}{good}x", f"gho_{b[:-1]}{good}",
+            jwt({"alg": "HS256"}), jwt({"alg": "RS256", "x5c": [body(6000)]}), jwt({"typ": "JWT"}), f"eyJ{body(7)}", "plain words", "token here",
+        ])
+
+    find, seen = m.Scanner(), 0
+    for _ in range(300):
+        text = " ".join(piece() for _ in range(rng.randint(0, 8)))
+        got = sorted((s, k, e) for k, s, e in find(text) if k in ("github", "npm", "jwt"))
+        assert got == plain_added(text)
+        seen += len(got)
+    assert seen > 200

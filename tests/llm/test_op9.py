@@ -75,3 +75,11 @@ def test_native_plan(spark):
 def test_query_equals_sql(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     assert got(df) == oracle(df)
+
+
+def test_very_long_message(spark):
+    long = "\n".join(f"line {k} of a long message" for k in range(60_000))
+    rows = [(1, 0, "user", long), (1, 1, "a", "> line 59999 of a long message\nyes"), (1, 2, "user", "\n".join(f"> {x}" for x in long.split("\n")[:30_000]) + "\nall of it")]
+    out = {r.turn: r for r in m.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0].text == long and out[1].reply_to == 0 and out[1].text == "yes"
+    assert out[2].reply_to == 0 and out[2].n_linked == 30_000 and out[2].text == "all of it"
