@@ -176,6 +176,24 @@ def mixed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(Engine(Catalog.open(spark, path)).query("measure(E, V), V >= 90"))
 
 
+def stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that a store keeps with its facts, of facts added to it as well."""
+    path = f"{_folder(spark)}/store"
+    catalog(spark, sf_dir, "nation(").save(path)
+    more = Catalog.open(spark, path)
+    more.add_lines('nation(99, "NOWHERE", 2).')
+    more.save(path)
+    return Catalog.open(spark, path).manifest("nation")
+
+
+def stored_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a store's predicates, read from what is stored beside the facts."""
+    path = f"{_folder(spark)}/store"
+    catalog(spark, sf_dir, "orders(customer_segment(").save(path)
+    got = Engine(Catalog.open(spark, path)).describe(examples=2)["predicates"]
+    return _rows(spark, "name string, arity int, count long, examples long", ((p["name"], p["arity"], p["count"], len(p["examples"])) for p in got))
+
+
 def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
     before = len(c.predicates)
@@ -288,6 +306,16 @@ CHECKS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "written_and_loaded": (written_and_loaded, "SELECT o_orderkey O, o_custkey C, o_orderstatus S, o_totalprice P, strftime(o_orderdate, '%Y-%m-%d') D, o_orderpriority R FROM orders"),
     "stored_and_opened": (stored_and_opened, "SELECT CAST(n_nationkey AS BIGINT) N, n_name Name, CAST(n_regionkey AS BIGINT) R FROM nation UNION ALL SELECT 99, 'NOWHERE', 2"),
     "mixed_store": (mixed_store, "SELECT event_id E, 'decimal' V_type, CASE WHEN contains(CAST(value AS VARCHAR), '.') THEN rtrim(rtrim(CAST(value AS VARCHAR), '0'), '.') ELSE CAST(value AS VARCHAR) END V FROM events WHERE value >= 90"),
+    "stored_manifest": (
+        stored_manifest,
+        "WITH n AS (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NOWHERE', 2) "
+        "SELECT 0 AS position, 'integer' AS type, count(*) AS count, count(DISTINCT n_nationkey) AS distinct_count, CAST(min(n_nationkey) AS VARCHAR) AS min, CAST(max(n_nationkey) AS VARCHAR) AS max FROM n "
+        "UNION ALL SELECT 1, 'string', count(*), count(DISTINCT n_name), NULL, NULL FROM n UNION ALL SELECT 2, 'integer', count(*), count(DISTINCT n_regionkey), CAST(min(n_regionkey) AS VARCHAR), CAST(max(n_regionkey) AS VARCHAR) FROM n",
+    ),
+    "stored_signatures": (
+        stored_signatures,
+        "SELECT 'orders' AS name, 6 AS arity, count(*) AS count, least(2, count(*)) AS examples FROM orders UNION ALL SELECT 'customer_segment', 2, count(*), least(2, count(*)) FROM customer",
+    ),
     "cleared": (cleared, "SELECT 23 AS had, 0 AS has, 0 AS answer"),
     "predicate_list": (predicate_list, _values("name, arity", [(p.split()[0], int(p.split()[1])) for p in _PREDICATES.split(",")])),
     "predicate_samples": (

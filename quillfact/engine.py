@@ -214,7 +214,7 @@ class Engine:
             if (q and q.lower() not in name.lower()) or (names is not None and name not in names):
                 continue
             arguments = [{"position": i, "types": sorted(t)} for i, t in enumerate(p.types)]
-            out.append({"name": name, "arity": p.arity, "count": p.df.count(), "arguments": arguments, "examples": self._facts(name, examples)})
+            out.append({"name": name, "arity": p.arity, "count": p.count(), "arguments": arguments, "examples": self._facts(name, examples)})
         return {"predicates": out, "environmentFingerprint": fingerprint(self.catalog), "languageVersion": LANGUAGE_VERSION}
 
     def _facts(self, name: str, n: int) -> list:

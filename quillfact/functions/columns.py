@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import ORDERED, TYPES, Value, comparable, order_failure
+from .values import ORDERED, TYPES, YEAR_AND_DAY, Value, comparable
 
 MIXED = "mixed"
 STRUCT = "struct<t:string,c:string,o:decimal(38,18)>"
@@ -126,13 +126,21 @@ def equal(a: Term, b: Term) -> Column:
 OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+def _failure(a: Term, ta: Column, b: Term, tb: Column) -> Column:
+    """What a row says whose two values have no common order: their types and texts."""
+    named = [F.concat_ws(" ", tag, canonical(t.col, t.kind)) for t, tag in ((a, ta), (b, tb))]
+    year_and_day = ((ta == "year") & (tb == "date")) | ((ta == "date") & (tb == "year"))
+    return F.concat(named[0], F.lit(" and "), named[1], F.lit(" have no common order."), F.when(year_and_day, F.lit(f" {YEAR_AND_DAY}")).otherwise(F.lit("")))
+
+
 def ordered(a: Term, op: str, b: Term) -> tuple[Column, Column | None]:
     """(whether it holds, error text where the values can't be ordered; None if all can)."""
     pairs = [(x, y) for x in a.types for y in b.types]
     good = [p for p in pairs if comparable(*p)]
+    tag = lambda t: t.col["t"] if t.kind == MIXED else F.lit(t.kind)
+    ta, tb = tag(a), tag(b)
     if not good:
-        x, y = sorted(a.types)[0] if a.types else "value", sorted(b.types)[0] if b.types else "value"
-        return F.lit(False), F.lit(order_failure(x, y))
+        return F.lit(False), _failure(a, ta, b, tb)
     if a.kind != MIXED and b.kind != MIXED:
         if {a.kind, b.kind} == {"integer", "decimal"}:
             return OPS[op](a.col.cast("decimal(38,18)"), b.col.cast("decimal(38,18)")), None
@@ -140,12 +148,10 @@ def ordered(a: Term, op: str, b: Term) -> tuple[Column, Column | None]:
     holds = OPS[op](order_key(a.col, a.kind), order_key(b.col, b.kind))
     if len(good) == len(pairs):
         return holds, None
-    tag = lambda t: t.col["t"] if t.kind == MIXED else F.lit(t.kind)
-    ta, tb = tag(a), tag(b)
     fits = F.lit(False)
     for x, y in sorted(good):
         fits = fits | ((ta == x) & (tb == y))
-    return fits & holds, F.when(~fits, F.concat(ta, F.lit(" and "), tb, F.lit(" have no common order.")))
+    return fits & holds, F.when(~fits, _failure(a, ta, b, tb))
 
 
 def sort_keys(t: Term) -> list[Column]:

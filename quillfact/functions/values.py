@@ -61,6 +61,10 @@ def comparison_hint(a: str, b: str) -> str | None:
     return None
 
 
+#: What a comparison of a year with a day is told besides.
+YEAR_AND_DAY = "Write both as years, e.g. @1970, or both as days, e.g. @1970-01-01."
+
+
 def order_failure(a: str, b: str) -> str:
     return f"{a} and {b} have no common order."
 

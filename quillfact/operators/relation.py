@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MIXED, OPS, Term, equal, lift, lifted, literal, ordered, sort_keys, sql_type
-from ..functions.values import ORDERED, comparable, order_failure
+from ..functions.values import ORDERED, YEAR_AND_DAY, comparable, order_failure
 from ..plans import ast as A
 from ..plans.explain import Access
 from ..sources.catalog import Catalog, Predicate
@@ -72,7 +72,8 @@ def _in_range(t: Term, path: Access) -> Column:
             continue
         for x in sorted(t.types & ORDERED):
             if not comparable(x, end[0].type):
-                raise QueryError(order_failure(x, end[0].type))
+                hint = f" {YEAR_AND_DAY}" if {x, end[0].type} == {"year", "date"} else ""
+                raise QueryError(order_failure(x, f"{end[0].type} {end[0].text}") + hint)
         open_types = t.types & ORDERED
         if not open_types:
             return F.lit(False)

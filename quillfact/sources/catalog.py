@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,10 @@ from . import facts as text
 #: Spark type -> value type, unless told otherwise.
 INFERRED = {"string": "string", "boolean": "boolean", "date": "date", "timestamp": "instant", "timestamp_ntz": "instant"}
 
+MANIFEST = "position int, type string, count bigint, distinct_count bigint, min string, max string"
+#: Facts of each predicate that a store keeps aside for listings, which show 100 at most.
+KEPT_SAMPLES = 100
+
 
 class CatalogError(ValueError):
     """Facts that make no predicate."""
@@ -68,6 +72,19 @@ def _outer_bounds(column: str, source: str, kind: str, op: str, value: Value) ->
     return []
 
 
+@dataclass(frozen=True)
+class Known:
+    """What a store holds about a predicate besides its facts: their number, the rows
+    of the manifest, and a folder with the first ``KEPT_SAMPLES`` of them by fact id."""
+
+    count: int
+    manifest: tuple[tuple, ...]
+    samples: str
+
+    def to_json(self) -> dict:
+        return {"count": self.count, "manifest": self.manifest, "samples": self.samples.rsplit("/", 1)[1]}
+
+
 @dataclass(frozen=True)
 class Predicate:
     """``df`` has columns a0, a1, …: distinct facts without nulls."""
@@ -80,6 +97,7 @@ class Predicate:
     source: Source | None = None  # the columns that a registered DataFrame has for them
     parts: tuple[Predicate, ...] = ()  # the predicates whose facts these are, if they are those of several
     apart: bool = True  # no fact is in two parts
+    known: Known | None = None  # of a store's predicate
 
     @property
     def arity(self) -> int:
@@ -108,9 +126,19 @@ class Predicate:
         parts = [F.lit(f"{self.name}/{self.arity}")] + [F.concat(F.lit("|"), s["t"], F.lit(":"), s["c"]) for s in (lift(self.term(i)) for i in range(self.arity))]
         return self.df.withColumn("fact_id", F.sha2(F.concat(*parts), 256))
 
+    def count(self) -> int:
+        """The number of facts; a store's predicate is not read for it."""
+        return self.df.count() if self.known is None else self.known.count
+
     def sample(self, n: int) -> DataFrame:
-        """n facts, the same ones each time."""
-        return self.with_ids().orderBy("fact_id").limit(n).drop("fact_id")
+        """n facts, the same ones each time; few of a store's predicate are read from those it keeps aside."""
+        kept = self if self.known is None or n > KEPT_SAMPLES else replace(self, df=self.df.sparkSession.read.schema(_ddl(self.kinds)).parquet(self.known.samples))
+        return kept.with_ids().orderBy("fact_id").limit(n).select(*[f"a{i}" for i in range(self.arity)])
+
+
+def _ddl(kinds: tuple[str, ...]) -> str:
+    """Schema of a predicate's Parquet files, which can't be without columns."""
+    return ", ".join(f"a{i} {sql_type(k)}" for i, k in enumerate(kinds)) or "holds boolean"
 
 
 def _cast(col, kind: str, source: str):
@@ -255,7 +283,7 @@ class Catalog:
         self.clear()
         self.problems.clear()
         said = {}
-        for name, path in text.list_predicates(folder).items():
+        for name, path in text.list_predicates(self.spark, folder).items():
             said |= self.add_facts(self._read_text(path, False), name) or {name: "no facts"}
         return said
 
@@ -266,7 +294,9 @@ class Catalog:
 
         Each predicate goes to a Parquet folder of its own, sorted within partitions
         so that row groups have narrow ranges to skip by; one that the store holds
-        as it is keeps its folder.  The schemas, written last, make the version:
+        as it is keeps its folder.  What was written is counted once, and its count,
+        manifest and first samples are stored with it, so that listings read no facts.
+        The schemas, written last, make the version:
         readers see the old one until then, and no folder is ever rewritten, so a
         store can be saved to while it is read, also by this catalog.  Two writers at
         once get one version; the other fails.
@@ -278,8 +308,10 @@ class Catalog:
             if home is None or not home.startswith(f"{path}/facts/"):
                 home = f"{path}/facts/{p.name}-{uuid.uuid4().hex}"
                 (p.df.sortWithinPartitions(*p.df.columns) if p.arity else p.df.select(F.lit(True).alias("holds"))).write.parquet(home)
-                self._read(p.name, home, p.kinds, p.types)
-            schema = {"kinds": p.kinds, "types": [sorted(t) for t in p.types], "folder": home.removeprefix(f"{path}/facts/")}
+                p = self._read(p.name, home, p.kinds, p.types)
+            if p.known is None:
+                p = self._put(p.name, p.df, p.kinds, p.types, home, known=self._counted(p, f"{path}/samples/{home.rsplit('/', 1)[1]}-{uuid.uuid4().hex}"))
+            schema = {"kinds": p.kinds, "types": [sorted(t) for t in p.types], "folder": home.removeprefix(f"{path}/facts/"), "known": p.known.to_json()}
             rows.append((p.name, json.dumps(schema)))
         self.spark.createDataFrame(rows, "name string, schema string").coalesce(1).write.parquet(f"{path}/schemas/version={version}")
 
@@ -294,10 +326,16 @@ class Catalog:
             return None
         return found.agg(F.max("version")).first()[0]
 
-    def _read(self, name: str, home: str, kinds: tuple, types: tuple) -> Predicate:
-        ddl = ", ".join(f"a{i} {sql_type(k)}" for i, k in enumerate(kinds))
-        df = self.spark.read.schema(ddl or "holds boolean").parquet(home)  # Parquet has no files without columns
-        return self._put(name, df if kinds else df.select(), kinds, types, home)
+    def _counted(self, p: Predicate, samples: str) -> Known:
+        """One row a position and type, and a bounded number of facts written to ``samples``."""
+        rows = tuple(tuple(r) for r in self.manifest(p.name).orderBy("position", "type").collect())
+        few = p.sample(KEPT_SAMPLES) if p.arity else p.df.limit(1).select(F.lit(True).alias("holds"))
+        few.coalesce(1).write.parquet(samples)
+        return Known(sum(r[2] for r in rows if r[0] == 0) if p.arity else p.df.count(), rows, samples)
+
+    def _read(self, name: str, home: str, kinds: tuple, types: tuple, known: Known | None = None) -> Predicate:
+        df = self.spark.read.schema(_ddl(kinds)).parquet(home)
+        return self._put(name, df if kinds else df.select(), kinds, types, home, known=known)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
@@ -307,15 +345,19 @@ class Catalog:
             raise CatalogError(f"no store in {path}")
         for r in spark.read.parquet(f"{path}/schemas/version={version}").where("name <> ''").collect():
             s = json.loads(r["schema"])
-            out._read(r["name"], f"{path}/facts/{s['folder']}", tuple(s["kinds"]), tuple(map(frozenset, s["types"])))
+            k = s.get("known")
+            known = k and Known(k["count"], tuple(map(tuple, k["manifest"])), f"{path}/samples/{k['samples']}")
+            out._read(r["name"], f"{path}/facts/{s['folder']}", tuple(s["kinds"]), tuple(map(frozenset, s["types"])), known)
         return out
 
     # -- statistics -------------------------------------------------------------------
 
     def manifest(self, name: str) -> DataFrame:
         """Per position and type: position, type, count, distinct_count, min and max
-        (canonical text; null for types without order)."""
+        (canonical text; null for types without order).  A store's predicate has it stored."""
         p = self.predicates[name]
+        if p.known is not None:
+            return self.spark.createDataFrame(list(p.known.manifest), MANIFEST)
         parts = []
         for i in range(p.arity):
             t = p.term(i)
@@ -328,7 +370,7 @@ class Catalog:
                 .agg(F.sum("n").alias("count"), F.count("*").alias("distinct_count"), F.min(F.when(keep, F.struct("o", "v"))).alias("lo"), F.max(F.when(keep, F.struct("o", "v"))).alias("hi"))
                 .select(F.lit(i).alias("position"), "type", "count", "distinct_count", F.col("lo.v").alias("min"), F.col("hi.v").alias("max"))
             )
-        out = parts[0] if parts else self.spark.createDataFrame([], "position int, type string, count bigint, distinct_count bigint, min string, max string")
+        out = parts[0] if parts else self.spark.createDataFrame([], MANIFEST)
         for x in parts[1:]:
             out = out.unionByName(x)
         return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,18 +55,23 @@ def from_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return parse_lines(spark.createDataFrame([(x,) for s in lines for x in s.split("\n")], "value string"))
 
 
-def list_predicates(folder: str) -> dict[str, str]:
-    """Predicate name -> file of a local folder, or of its ``predicates`` folder if it has one."""
-    inner = os.path.join(folder, "predicates")
-    folder = inner if os.path.isdir(inner) else folder
+def list_predicates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Predicate name -> file of a folder, or of its ``predicates`` folder if it has one.
+
+    The folder may lie on any file system that Spark reads.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    inner = hadoop.Path(folder, "predicates")
+    there = inner if files.exists(inner) and files.getFileStatus(inner).isDirectory() else hadoop.Path(folder)
+    found = {s.getPath().getName(): s.getPath().toString() for s in files.listStatus(there) if not s.isDirectory()}
     out: dict[str, str] = {}
-    for name in sorted(os.listdir(folder)):
-        path = os.path.join(folder, name)
-        if name.startswith(".") or name.upper().startswith("README") or name.endswith(SKIPPED) or os.path.isdir(path):
+    for name in sorted(found):
+        if name.startswith(".") or name.upper().startswith("README") or name.endswith(SKIPPED):
             continue
         bare = name.removesuffix(".pl")
         if bare not in out or name.endswith(".pl"):  # p.pl goes before p
-            out[bare] = path
+            out[bare] = found[name]
     return out
 
 

@@ -195,6 +195,47 @@ def test_manifest(engine):
     assert got == {(0, "atom"): (3, 3, None, None), (1, "integer"): (3, 3, "-5", "5")}
 
 
+def test_listings_of_a_store_read_no_facts(spark, tmp_path):
+    store = str(tmp_path / "store")
+    made = Engine.of(spark)
+    made.catalog.add_lines('p(a, 1).\np(b, 2.5).\np(c, "x").\nflag().\nm(@2020-01-01, 7).')
+    want = made.describe(), made.list_predicates(100), {n: sorted(map(str, made.catalog.manifest(n).collect())) for n in ("p", "flag", "m")}
+    made.catalog.save(store)
+    for f in (tmp_path / "store" / "facts").rglob("*.parquet"):
+        f.unlink()
+    opened = Engine(Catalog.open(spark, store))
+    assert opened.describe() == want[0] and opened.list_predicates(100) == want[1]
+    assert {n: sorted(map(str, opened.catalog.manifest(n).collect())) for n in ("p", "flag", "m")} == want[2]
+    assert [opened.catalog.predicates[n].count() for n in ("p", "flag", "m")] == [3, 1, 1]
+
+
+def test_facts_added_to_a_store_are_counted_anew(spark, tmp_path):
+    store = str(tmp_path / "store")
+    made = Catalog(spark)
+    made.add_lines("p(a).\np(b).\nq(1).")
+    made.save(store)
+    more = Catalog.open(spark, store)
+    more.add_lines("p(b).\np(c).")
+    more.save(store)
+    last = Catalog.open(spark, store)
+    assert (last.predicates["p"].count(), last.predicates["q"].count()) == (3, 1)
+    assert last.predicates["q"].known == made.predicates["q"].known  # not counted again
+    assert [r["count"] for r in last.manifest("p").collect()] == [3] and last.predicates["p"].sample(5).count() == 3
+
+
+@pytest.mark.parametrize("query, message", [
+    ("opened(X, D), D < 1979", "date and integer 1979 have no common order."),  # a range access asks for the types alone
+    ("opened(X, D), born(Y, Z), D < Z", "date 2019-06-15 and year 1951 have no common order. Write both as years, e.g. @1970, or both as days, e.g. @1970-01-01."),
+    ("mixed(X, V), born(Y, Z), V < Z", "string unknown and year 1951 have no common order."),
+])
+def test_comparison_errors_name_the_values(spark, query, message):
+    made = Engine.of(spark)
+    made.catalog.add_lines('opened(show, @2019-06-15).\nborn(show, @1951).\nmixed(a, "unknown").')
+    with pytest.raises(QueryError) as e:
+        made.query(query).collect()
+    assert str(e.value) == message
+
+
 def test_random_queries(spark):
     """Random queries on random small facts against the plain evaluator."""
     rng = random.Random(11)
