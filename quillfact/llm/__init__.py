@@ -24,10 +24,13 @@ QUERIES = {
     "op10_warc_roundtrip": "op10_warc",
 }
 
+#: columns of two of them that SQL can tell, over the whole table, with ``BASE_SQL`` of the module
+BASE_COLUMNS = {"secret_base_spans": "op7_secrets", "quality_base_counts": "op8_quality"}
+
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir)."""
-    return {name: getattr(importlib.import_module(f"{__name__}.{mod}"), name) for name, mod in QUERIES.items()}
+    return {name: getattr(importlib.import_module(f"{__name__}.{mod}"), name) for name, mod in (QUERIES | BASE_COLUMNS).items()}
 
 
 def oracle_sql() -> dict:
@@ -37,4 +40,4 @@ def oracle_sql() -> dict:
         sql = getattr(importlib.import_module(f"{__name__}.{mod}"), "ORACLE_SQL", None)
         if sql:
             out[name] = sql
-    return out
+    return out | {name: importlib.import_module(f"{__name__}.{mod}").BASE_SQL for name, mod in BASE_COLUMNS.items()}

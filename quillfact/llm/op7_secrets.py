@@ -191,3 +191,37 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(pick(docs, doc_id="doc_id", text="text"), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", start)
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7_secret_scan`` that SQL can tell: those of the base kinds."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _base_sql() -> str:
+    """Leftmost searches of each whole text; a match ends after the lengths of all matches and gaps up to it."""
+
+    def found(kind: str, pattern: str, group: int, least: int) -> str:
+        pattern = pattern.replace("'", "''")
+        return f"""
+  SELECT r, {BASE_KINDS.index(kind)} AS rank, '{kind}' AS kind, upto - length(m) AS s, upto AS e FROM (
+    SELECT r, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS upto FROM (
+      SELECT r, unnest(range(len(ms))) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m, unnest(gs) AS g FROM (
+        SELECT r, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS gs FROM texts)))
+  WHERE length(g) >= {least}"""
+
+    # A-Z and a-z alone: the engine's own case folding takes other letters for them as well
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = " UNION ALL ".join([found("assign", assign, 2, 6), found("access", "AKIA[A-Z0-9]+", 0, 20), found("hex", "[0-9a-f]+", 0, 24)])
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({spans})
+SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '')) AS base_sha256
+FROM texts LEFT JOIN spans USING (r) GROUP BY r, doc_id
+"""
+
+
+BASE_SQL = _base_sql()

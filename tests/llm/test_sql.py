@@ -1,5 +1,7 @@
 """The operators' DuckDB SQL against their queries, on whole tables and on hard rows."""
 
+import random
+
 import duckdb
 import pytest
 from test_op1 import SCHEMA, clusters
@@ -25,10 +27,20 @@ def check(df, sql, **tables):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query(spark, name, sf):
     sf_dir = f"/root/testdata/{sf}"
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("conversations", "embeddings", "pages")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("conversations", "documents", "embeddings", "pages")}
     assert check(llm.queries()[name](spark, sf_dir), llm.oracle_sql()[name], **tables)
 
 
+def test_base_columns_of_hard_texts(spark, tmp_path):
+    rng = random.Random(5)
+    bits = ["password: hunter22", "API_KEY='a.b/c=12345'", "apikey=x", "toKen = ſecret:abcdef1", "ſecret: abcdefgh", "toKen:abcdefgh", "AKIA" + "A1" * 9, "AKIAAKIA" + "Z" * 11, "0123456789abcdef" * 2, "deadbeef", "é", "字字 字", "\u00a0x", "\x1c", "\x85", "\n", "\n\n", "\r\n", " ", "\t", "a b c d e f", "a b c d e", "#$%", "secret=secret=secret"]
+    texts = ["", None, " ", "\n", "a " * 40, "same\nsame\n same\n\n\nsame"] + ["".join(rng.choice(bits) + rng.choice(["", " ", "\n", "x"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(i % 290, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in llm.BASE_COLUMNS:
+        assert len(check(llm.queries()[name](spark, str(tmp_path)), llm.oracle_sql()[name], documents=df)) == len(texts)
+
+
 def test_linked_vectors(spark):
     vectors = clusters(6, 6, 0.05) + clusters(7, 6, 0.02, each=3)
     rows = [(i % 190, v, i % 3) for i, v in enumerate(vectors + vectors[:40])]
