@@ -18,7 +18,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MIXED, OPS, Term, equal, lift, lifted, literal, ordered, sort_keys, sql_type
@@ -332,24 +332,22 @@ def arranged(rel: Relation, query: A.Query) -> Relation:
 
 
 def _first_of_each(rel: Relation, wanted: list[str], order: list) -> tuple[Relation, list]:
+    """One row for each of the wanted ones, with its least sort key.
+
+    One column is a minimum or maximum; several are told by a row number, which
+    Spark limits to one row a group before the shuffle, so a group of any size
+    leaves each task as one row.
+    """
     kept = [rel.vars[v].column for v in wanted]
     keys = [(k, down) for b, down in order for k in sort_keys(b.term())]
     names = [f"k{i}" for i in range(len(keys))]
     df = rel.df.select(*kept, *[k.alias(n) for (k, _), n in zip(keys, names)])
-    # one key after another: the best value of the first, then of the next among its holders
-    for i, (n, (_, down)) in enumerate(zip(names, keys)):
-        by = kept + names[:i]
-        best = F.max(n) if down else F.min(n)  # both pass over nulls, which come last
-        if i == len(names) - 1:
-            df = df.groupBy(*by).agg(best.alias(n))
-            continue
-        top = df.groupBy(*by).agg(best.alias("best")).select(*[F.col(c).alias(f"b_{c}") for c in by], "best")
-        on = F.col("best").eqNullSafe(F.col(n))
-        for c in by:
-            on = on & F.col(c).eqNullSafe(F.col(f"b_{c}"))
-        df = df.join(top, on).select(*df.columns)
-    out = [[F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_last()] for n, (_, down) in zip(names, keys)]
-    return Relation(df, {v: rel.vars[v] for v in wanted}), [(c, False) for c in out]
+    by = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_last() for n, (_, down) in zip(names, keys)]
+    if len(names) == 1:
+        df = df.groupBy(*kept).agg((F.max if keys[0][1] else F.min)(names[0]).alias(names[0]))  # both pass over nulls, which come last
+    else:
+        df = df.withColumn("turn", F.row_number().over(Window.partitionBy(*kept).orderBy(*by))).where("turn = 1").drop("turn")
+    return Relation(df, {v: rel.vars[v] for v in wanted}), [([k], False) for k in by]
 
 
 def named(rel: Relation) -> DataFrame:

@@ -236,6 +236,23 @@ def test_comparison_errors_name_the_values(spark, query, message):
     assert str(e.value) == message
 
 
+def test_distinct_by_several_hidden_keys(spark):
+    rng = random.Random(3)
+    facts = {(f"g{rng.randint(0, 5)}", rng.choice(["1", "2.5", '"t"', '"s"', "@2020-01-01"]), rng.randint(0, 4)) for _ in range(60)}
+    made = Engine.of(spark)
+    made.catalog.add_lines("".join(f"p({g}, {v}, {n}).\n" for g, v, n in facts))
+    family = {"1": (0, 1.0), "2.5": (0, 2.5), "@2020-01-01": (2, 0), '"s"': (9, 0), '"t"': (9, 1)}
+    want = {}
+    for g, v, n in facts:
+        key = (-n, *family[v])
+        want[g] = min(want.get(g, key), key)
+    df = made.query("find distinct G\nwhere\n  p(G, V, N)\norder by N desc, V")
+    ranked = [want[r.G] for r in df.collect()]
+    assert ranked == sorted(want.values())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Join" not in plan
+
+
 def test_random_queries(spark):
     """Random queries on random small facts against the plain evaluator."""
     rng = random.Random(11)
