@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ HELP = """:predicates  :environment  :describe NAME  :explain QUERY  :validate
 :core  :dsl  :auto  :load FILE  :loadfacts FILE  :loadqueries FILE  :help  :quit
 Queries of several lines and :validate end with an empty line."""
 
+HISTORY_LINES = 1000
 SHOWN = 20  # lines of a file that are said to be no facts; ``Catalog.problems`` has all
 
 
@@ -35,11 +37,31 @@ def _told(catalog: Catalog, said: dict[str, str], say) -> None:
             say(f"{path}: skipped {r['line']} ({r['problem']})")
 
 
+def typed(history: str, read=input):
+    """Lines from a terminal, edited and recalled by readline where there is one; kept in the file ``history``."""
+    try:
+        import readline
+    except ImportError:
+        readline = None
+    if readline is not None and os.path.exists(history):
+        readline.read_history_file(history)
+    try:
+        while True:
+            try:
+                yield read("> ")
+            except EOFError:
+                return
+    finally:
+        if readline is not None:
+            readline.set_history_length(HISTORY_LINES)
+            readline.write_history_file(history)
+
+
 class Repl:
     """Reads commands and queries from an iterator of lines."""
 
-    def __init__(self, engine: Engine, lines, say=print):
-        self.engine, self.lines, self.say, self.mode, self.limit = engine, iter(lines), say, "auto", None
+    def __init__(self, engine: Engine, lines, say=print, limit: int | None = None):
+        self.engine, self.lines, self.say, self.mode, self.limit = engine, iter(lines), say, "auto", limit
 
     def _block(self) -> list[str]:
         out = []
@@ -125,6 +147,9 @@ def main(argv: list[str] | None = None) -> int:
         if name == "query":
             s.add_argument("text")
             s.add_argument("--action", default="execute")
+        if name == "repl":
+            s.add_argument("--limit", type=int, default=1000, help="rows of a query at most, until :limit says otherwise")
+            s.add_argument("--history", default=os.path.join(os.path.expanduser("~"), ".quillfact_history"), help="file of the lines typed")
         if name == "serve":
             s.add_argument("--port", type=int, default=8080)
     given = parser.parse_args(argv)
@@ -141,7 +166,10 @@ def main(argv: list[str] | None = None) -> int:
         print(_show(out))
         return int(out.status != "ok")
     if given.command == "repl":
-        Repl(engine, sys.stdin).run()
+        lines = typed(given.history) if sys.stdin.isatty() else sys.stdin
+        Repl(engine, lines, limit=given.limit).run()
+        if lines is not sys.stdin:
+            lines.close()
     else:
         serve(engine, given.port).serve_forever()
     return 0

@@ -2,7 +2,7 @@ import json
 import threading
 import urllib.request
 
-from quillfact.cli import Repl, main
+from quillfact.cli import Repl, main, typed
 from quillfact.engine import Engine, Limits
 from quillfact.http import get, post, serve
 from quillfact.streaming import standing
@@ -55,6 +55,23 @@ def test_repl(spark, tmp_path):
     assert said[-1].startswith("Unknown command")
 
 
+def test_typed_lines_are_kept(spark, tmp_path):
+    import readline
+
+    given, said = iter(["p(X, Y)", ":quit", "q(X)"]), []
+
+    def read(prompt):
+        line = next(given)
+        readline.add_history(line)
+        return line
+
+    lines = typed(str(tmp_path / "history"), read)
+    Repl(make(spark), lines, said.append, limit=1).run()
+    lines.close()
+    assert '"count": 1' in said[0] and len(said) == 1
+    assert (tmp_path / "history").read_text().split("\n")[-3:] == ["p(X, Y)", ":quit", ""]
+
+
 def test_compile_and_query(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "p.pl").write_text("p(a).\np(b).\n")
