@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfact.llm import op3_simhash, op4_langid, op6_packing, op7_secrets, op8_quality
-from quillfact.llm.common import materialize
+from quillfact.llm.common import materialize, sized
 
 MIN_LANGUAGE_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,14 +54,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # equal rows have one key; where a null stands is part of it, as xxhash64 passes over nulls
     keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
     marked = materialize(op3_simhash.near_dedup(keyed, row_col="_row"), "marked")
-    # Small tables of keys against the documents: written first, so that Catalyst
-    # knows their size, and broadcasts them if small instead of moving the texts.
+    # Tables of keys against the documents: written first, so that their size is
+    # known, and they are broadcast if small instead of moving the texts.
     key = [F.col("doc_id").alias("id"), F.col("row")]
     goes = materialize(marked.where("NOT stands").select(*key).distinct(), "goes")
     twice = materialize(marked.where("stands").select(*key).groupBy("id", "row").count().where("count > 1").select("id", "row"), "twice")
 
     def join(keys, how):
-        return keyed.join(keys, (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), how)
+        return keyed.join(sized(keys, keys.count()), (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), how)
 
     once = join(goes.union(twice), "left_anti")
     again = join(twice, "left_semi").dropDuplicates(["doc_id", "_row"])

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 #: length, so batches hold few rows; a worker handles one row at a time.
 BATCH_ROWS = 512
 
+#: Rows (of a few numbers each) up to which Catalyst may broadcast a table that grows
+#: with the input.  The driver holds all of a broadcast, and its size is foretold from
+#: compressed files and without what ``explode`` makes of a row.
+BROADCAST_ROWS = 100_000
+
 _created: list[tuple[object, str]] = []
 
 
@@ -62,8 +67,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs no recomputation, and gives
-    Catalyst the exact size of the table, so that a later join is broadcast
-    only if that size is below ``spark.sql.autoBroadcastJoinThreshold``.
+    Catalyst the size of its files, so that a later join is broadcast only if
+    that size is below ``spark.sql.autoBroadcastJoinThreshold`` (see ``sized``
+    for tables that grow with the input).
     """
     return _written(df, name)[0]
 
@@ -75,6 +81,11 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a side of a join with at most ``rows`` rows: by sort and merge if they are many, as Catalyst likes if few."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def _discard(spark: SparkSession, path: str) -> None:
     """Remove a written table that nothing reads any more."""
     _delete(spark.sparkContext._jvm, path)
@@ -125,7 +136,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014), which
     end after a logarithmic number of rounds on graphs met in practice.  Each
     round is written to the shared folder, so lineage stays short, and the round
-    before it is removed; nothing but a count and a checksum reaches the driver.
+    before it is removed; nothing but a count and a checksum reaches the driver, and
+    tables of nodes only if they are few (``BROADCAST_ROWS``).
     The edges of a hub, which meet its one least neighbour, are split over tasks by
     adaptive execution where they are more than a partition's size.
     """
@@ -133,22 +145,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     kind = edges.schema["a"].dataType
     spark = edges.sparkSession
     cur, path = _written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    last = None
+    last, rows = None, cur.count()
     for _ in range(max_rounds):
         both = cur.select(a, b).union(cur.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b"))
+        large = both.where(b > a).join(sized(low, 2 * rows), "a").select(b.alias("a"), F.col("m").alias("b"))
         # an edge to the least neighbour stands for each node that was its own least
         small_in = large.where(a != b).distinct()
         low2 = small_in.groupBy("a").agg(F.min("b").alias("m"))
-        small = small_in.join(low2, "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
+        small = small_in.join(sized(low2, 2 * rows), "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
         before = path
         cur, path = _written(small.where(a != b).select("a", "b").distinct(), "edges")
         _discard(spark, before)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == last:
             break
-        last = now
+        last, rows = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(b.cast(kind).alias("node")).distinct().select("node", F.col("node").alias("comp"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, materialize, pick, texts
+from .common import arrow_map, connected_components, materialize, pick, sized, texts
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -97,7 +97,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     placed = dealt.select("fp", _segment_counts(fp).alias("p")).select("fp", F.explode(F.filter(F.array(*moves), lambda m: m.isNotNull())).alias("m")).select("fp", "m.*")
     shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    left = placed.join(shared, "cell")
+    # merged whatever the size foretold, which leaves the 33 rows of each out: the driver would hold what is broadcast
+    left = placed.join(shared.hint("merge"), "cell")
     # the values of this cell at most one bit away: itself, or one bit of the moved segment flipped
     bits = [
         F.when((F.col("step") == F.when(_bit(fp, F.col("seg") * 4 + k) == 1, -1).otherwise(1)), fp.bitwiseXOR(_one(F.col("seg") * 4 + k)))
@@ -106,7 +107,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     values = F.when(F.col("seg") < 0, F.array(fp)).otherwise(F.filter(F.array(*bits), lambda v: v.isNotNull()))
     named = left.select("fp", F.explode(values).alias("v"))
     least = named.groupBy("v").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("v", "b")
-    return named.join(least, "v").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return named.join(least.hint("merge"), "v").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def _one(at):
@@ -129,15 +130,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     if row_col:
         least["first"] = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
     distinct = materialize(docs.groupBy("fp").agg(*[x.alias(a) for a, x in least.items()]), "distinct")
+    n = distinct.count()
     comp = connected_components(near_links(distinct.select("fp")))
-    of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", *least, F.coalesce("comp", "fp").alias("comp"))
+    of = distinct.join(sized(comp.withColumnRenamed("node", "fp"), n), "fp", "left").select("fp", *least, F.coalesce("comp", "fp").alias("comp"))
     of = materialize(of, "classes")
     names = of.groupBy("comp").agg(*[F.min(a).alias(f"of_{a}") for a in least])
-    named = of.join(names, "comp").select("fp", F.col("of_least").alias("component_id"), *[f"of_{a}" for a in least if a == "first"])
+    named = of.join(sized(names, n), "comp").select("fp", F.col("of_least").alias("component_id"), *[f"of_{a}" for a in least if a == "first"])
     kept = [F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")]
     if row_col:
         kept += ["row", (F.col("doc_id").eqNullSafe(F.col("of_first.doc_id")) & F.col("row").eqNullSafe(F.col("of_first.row"))).alias("stands")]
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id", *kept)
+    return docs.join(sized(named, docs.count()), "fp").select("doc_id", "fp", "component_id", *kept)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import corpus_pipeline as cp
@@ -61,3 +62,32 @@ def got_text(rows):
     """The one text of several spellings that stayed."""
     (text,) = [r.text for r in rows if r.doc_id is None]
     return text
+
+
+def _plans(spark):
+    """Plans of all executions so far, by id."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {x.executionId(): x.physicalPlanDescription() for x in (runs.apply(i) for i in range(runs.size()))}
+
+
+def test_near_dedup_broadcasts_no_table_over_the_bound(spark, monkeypatch):
+    """The driver holds what is broadcast; every table here has more rows than the bound, though few bytes."""
+    from quillfact.llm import common
+    from quillfact.llm.op3_simhash import fingerprint
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100, raising=False)
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(base)] * 2 + [(1000 + k, f"{t} more") for k, t in enumerate(base)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    before = _plans(spark)
+    got = cp.near_dedup(spark, df, SF).collect()
+    run = [p for k, p in _plans(spark).items() if k not in before]
+    assert any("SortMergeJoin" in p for p in run) and not any("Broadcast" in p for p in run)
+
+    fps = {i: fingerprint(t) for i, t in rows}
+    near = {1000 + k for k in range(300) if 0 < (fps[k] ^ fps[1000 + k]).bit_count() <= 2}
+    assert len(near) > 60  # so that there are more links both ways than the bound
+    gone = near | {1000 + k for k in range(300) if fps[k] == fps[1000 + k]}
+    assert sorted(r.doc_id for r in got) == sorted(set(fps) - gone)
