@@ -94,13 +94,13 @@ class Engine:
     def relation(self, query: A.Query) -> R.Relation:
         return R.arranged(lower(self.catalog, query), query)
 
-    def query(self, text: str, language: str | None = None) -> DataFrame:
-        """The result as a DataFrame, one column a variable, without limits.
+    def query(self, text: str, language: str | None = None, doubles: bool = False) -> DataFrame:
+        """The result as a DataFrame, one column a variable, without limits; decimals as doubles if asked for.
 
         Comparisons that might fail on some row are tried at once; QueryError if one does.
         """
         query, _ = self.parse(text, language or ("dsl" if looks_like_dsl(text) else "core"))
-        return R.named(self.relation(query))
+        return R.named(self.relation(query), doubles)
 
     def explain(self, text: str, language: str | None = None) -> str:
         """Access paths, and Spark's plan below them."""

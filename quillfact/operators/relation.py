@@ -16,6 +16,7 @@ error text; where an error is possible at all, the rows are first asked for one.
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +41,14 @@ class Binding:
     kind: str
     types: frozenset
     unbound: bool = False  # may be null
+    near: str | None = None  # a column of the nearest doubles, if one was made for comparisons
 
     def term(self) -> Term:
-        return Term(F.col(self.column), self.kind, self.types)
+        return Term(F.col(self.column), self.kind, self.types, near=None if self.near is None else F.col(self.near))
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.column, *filter(None, [self.near])]
 
 
 @dataclass(frozen=True)
@@ -52,11 +58,11 @@ class Relation:
 
     def select(self, names) -> Relation:
         kept = {v: self.vars[v] for v in names}
-        return Relation(self.df.select(*[b.column for b in kept.values()]), kept)
+        return Relation(self.df.select(*[c for b in kept.values() for c in b.columns]), kept)
 
     def fresh(self) -> Relation:
         """The same with new column names, to be joined with a relation it may share columns with."""
-        named = {v: replace(b, column=f"v{next(_ids)}") for v, b in self.vars.items()}
+        named = {v: replace(b, column=f"v{next(_ids)}", near=None) for v, b in self.vars.items()}
         return Relation(self.df.select(*[F.col(self.vars[v].column).alias(b.column) for v, b in named.items()]), named)
 
 
@@ -236,7 +242,57 @@ def _on(left: Relation, right: Relation) -> Column | None:
     return on
 
 
-def _joined(left: Relation, right: Relation, outer: bool) -> tuple[dict[str, Column], dict[str, Binding]]:
+def _seen(clause) -> list[A.Var]:
+    """The variables of a comparison."""
+    terms = (clause.left, clause.right) if isinstance(clause, A.Compare) else (clause.value, clause.low, clause.high)
+    return [t for t in terms if isinstance(t, A.Var)]
+
+
+def _across(left: Relation, right: Relation, clauses) -> list:
+    """The comparisons other than equality of a variable of the left side alone with one of the right side alone."""
+    found = []
+    for c in clauses:
+        names = {t.name for t in _seen(c)}
+        if names & left.vars.keys() - right.vars.keys() and names & right.vars.keys() - left.vars.keys() and getattr(c, "op", None) != "=":
+            found.append(c)
+    return found
+
+
+def _with_near(rel: Relation, names) -> Relation:
+    """The same with the nearest double of each decimal among the names, made once a row and not once a pair."""
+    more = {v: replace(b, near=f"v{next(_ids)}") for v, b in rel.vars.items() if v in names and b.kind == "decimal" and b.near is None}
+    df = rel.df.select("*", *[F.col(b.column).cast("double").alias(b.near) for b in more.values()])
+    return Relation(df, rel.vars | more)
+
+
+def _dealt(left: Relation, right: Relation, how: str) -> tuple[Relation, Relation, Column]:
+    """Both sides dealt into cells, and the condition that rows are of one cell.
+
+    Rows that are compared in pairs may be few megabytes with few values of the
+    shared variables, which Spark would give to few tasks, or to one.  So each side
+    is cut into slices by a hash of its rows, and each slice goes to a cell with every
+    slice of the other side; a pair meets in one cell.  Where left rows without a match
+    count, only the left side is cut, so that each of them sees all it may match.
+    Cells are merged: nothing is broadcast and a task holds no more than Spark's buffer.
+    """
+    spark = left.df.sparkSession
+    cells = 2 * spark.sparkContext.defaultParallelism
+    n, m = (math.isqrt(cells - 1) + 1,) * 2 if how == "inner" else (cells, 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    same = [v for v in right.vars if v in left.vars and left.vars[v].kind == right.vars[v].kind != MIXED and not (left.vars[v].unbound or right.vars[v].unbound)]
+    sides, keys = [], []
+    for rel, own, other, cell in ((left, n, m, lambda i, j: i * m + j), (right, m, n, lambda i, j: j * m + i)):
+        mine = F.pmod(F.xxhash64(*[b.column for b in rel.vars.values()]), F.lit(own)) if own > 1 else F.lit(0)
+        copy, key = f"v{next(_ids)}", f"v{next(_ids)}"
+        kept = [c for b in rel.vars.values() for c in b.columns]
+        df = rel.df.select(*kept, (F.explode(F.array(*map(F.lit, range(other)))) if other > 1 else F.lit(0)).alias(copy))
+        df = df.select(*kept, cell(mine, F.col(copy)).cast("int").alias(key))
+        sides.append(Relation(df.repartition(tasks, *[rel.vars[v].column for v in same], key), rel.vars))
+        keys.append(F.col(key))
+    return sides[0], replace(sides[1], df=sides[1].df.hint("merge")), keys[0] == keys[1]
+
+
+def _joined(left: Relation, right: Relation, outer: bool) -> tuple[dict[str, list[Column]], dict[str, Binding]]:
     """Columns and bindings of a join's result."""
     cols, out = {}, {}
     for v in [*left.vars, *[v for v in right.vars if v not in left.vars]]:
@@ -249,15 +305,20 @@ def _joined(left: Relation, right: Relation, outer: bool) -> tuple[dict[str, Col
             kind = l.kind if l.kind == r.kind else MIXED
             a, b = (F.col(l.column), F.col(r.column)) if kind == l.kind == r.kind else (lift(l.term()), lift(r.term()))
             cols[v], out[v] = F.coalesce(a, b), Binding(l.column, kind, l.types | r.types, r.unbound or outer)
-    named = {v: replace(b, column=f"v{next(_ids)}") for v, b in out.items()}
-    return {v: cols[v].alias(named[v].column) for v in named}, named
+    named = {v: replace(b, column=f"v{next(_ids)}", near=b.near and f"v{next(_ids)}") for v, b in out.items()}
+    return {v: [cols[v].alias(b.column), *([F.col(out[v].near).alias(b.near)] if b.near else [])] for v, b in named.items()}, named
 
 
-def join(left: Relation, right: Relation, clauses=(), how: str = "inner") -> Relation:
+def join(left: Relation, right: Relation, clauses=(), how: str = "inner", later=()) -> Relation:
     """Inner, left or left_anti join on shared variables and the comparisons ``clauses``
-    of the right side's group, which see both sides."""
+    of the right side's group, which see both sides.  ``later`` are comparisons that an
+    inner join's result is filtered by, which Catalyst makes part of the join."""
     right = right.fresh()
     on = _on(left, right)
+    if across := _across(left, right, [*clauses, *later]):
+        names = {t.name for c in across for t in _seen(c)}
+        left, right, here = _dealt(_with_near(left, names - right.vars.keys()), _with_near(right, names - left.vars.keys()), how)
+        on = here if on is None else on & here
     both = {**right.vars, **left.vars}
     if clauses:
         # the comparisons see a shared variable as it is after the join
@@ -269,13 +330,13 @@ def join(left: Relation, right: Relation, clauses=(), how: str = "inner") -> Rel
         _ask(pairs, wrong)
         on = keep if on is None else on & keep
     if how == "left_anti":
-        return Relation(left.df.join(right.df, F.lit(True) if on is None else on, "left_anti"), left.vars)
+        return Relation(left.df.join(right.df, F.lit(True) if on is None else on, "left_anti"), left.vars).select(left.vars)
     if on is None and how == "inner":
         df = left.df.crossJoin(right.df)
     else:
         df = left.df.join(right.df, F.lit(True) if on is None else on, how)
     cols, named = _joined(left, right, how == "left")
-    return Relation(df.select(*cols.values()), named)
+    return Relation(df.select(*[c for cs in cols.values() for c in cs]), named)
 
 
 def union(parts: list[Relation]) -> Relation:
@@ -316,14 +377,14 @@ def arranged(rel: Relation, query: A.Query) -> Relation:
         kept = [rel.vars[v].column for v in wanted]
         hidden = [(b, d) for b, d in order if b.column not in kept]
         if not hidden:
-            rel = Relation(rel.df.select(*kept).distinct(), {v: rel.vars[v] for v in wanted})
+            rel = Relation(rel.df.select(*kept).distinct(), {v: replace(rel.vars[v], near=None) for v in wanted})
         else:
             # a row stands for the first of its copies: the least sort key, by a map-side combined minimum
             rel, order = _first_of_each(rel, wanted, order)
     df = rel.df
     if order:
         df = df.orderBy(*[k for b, d in order for k in (_directed(b, d) if isinstance(b, Binding) else b)])
-    df = df.select(*[F.col(rel.vars[v].column) for v in wanted])
+    df = df.select(*[c for v in wanted for c in rel.vars[v].columns])
     if query.offset:
         df = df.offset(query.offset)
     if query.limit is not None:
@@ -347,14 +408,17 @@ def _first_of_each(rel: Relation, wanted: list[str], order: list) -> tuple[Relat
         df = df.groupBy(*kept).agg((F.max if keys[0][1] else F.min)(names[0]).alias(names[0]))  # both pass over nulls, which come last
     else:
         df = df.withColumn("turn", F.row_number().over(Window.partitionBy(*kept).orderBy(*by))).where("turn = 1").drop("turn")
-    return Relation(df, {v: rel.vars[v] for v in wanted}), [([k], False) for k in by]
+    return Relation(df, {v: replace(rel.vars[v], near=None) for v in wanted}), [([k], False) for k in by]
 
 
-def named(rel: Relation) -> DataFrame:
-    """Columns under their variables' names; values of several types as (type, value)."""
+def named(rel: Relation, doubles: bool = False) -> DataFrame:
+    """Columns under their variables' names; values of several types as (type, value),
+    decimals as the nearest doubles if asked for."""
     cols = []
     for v, b in rel.vars.items():
         c = F.col(b.column)
+        if doubles and b.kind == "decimal":
+            c = c.cast("double") if b.near is None else F.col(b.near)
         if b.kind == MIXED:
             c = F.when(c.isNotNull(), F.struct(c["t"].alias("type"), c["c"].alias("value")))
         cols.append(c.alias(v))

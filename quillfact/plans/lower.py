@@ -30,7 +30,7 @@ def _patterns(catalog: Catalog, clauses, outer: set[str]) -> R.Relation | None:
         c = (near or left)[0]
         left = [x for x in left if x is not c]
         step = R.scan(catalog, c, paths[id(c)])
-        rel = step if rel is None else R.join(rel, step)
+        rel = step if rel is None else R.join(rel, step, later=A.filters(clauses))
         seen |= set(A.own_names(c))
     return rel
 
