@@ -152,7 +152,8 @@ def _folder(spark: SparkSession) -> str:
 def written_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicate written as text and loaded again."""
     path = f"{_folder(spark)}/orders.pl"
-    text.write_facts(catalog(spark, sf_dir, "orders(").predicates["orders"].structs(), "orders", path)
+    orders = catalog(spark, sf_dir, "orders(").predicates["orders"]
+    text.write_facts(orders.df, "orders", path, tuple(map(orders.term, range(orders.arity))))
     back = Engine.of(spark)
     back.catalog.load_file(path)
     return shown(back.query("orders(O, C, S, P, D, R)"))

@@ -77,7 +77,7 @@ def canonical(col: Column, kind: str) -> Column:
     if kind == "decimal":
         # of numbers from one up the text is plain in every mode; below, it may have an exponent
         size = F.abs(col)
-        part = F.regexp_extract((size + 1).cast("decimal(38,18)").cast("string"), r"\.(\d*?)0*$", 1)
+        part = F.rtrim(F.substring_index((size + 1).cast("decimal(38,18)").cast("string"), ".", -1), F.lit("0"))
         return F.concat(F.when(col < 0, "-").otherwise(""), F.floor(size).cast("string"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
     if kind == "year_month":
         return F.format_string("%04d-%02d", F.floor(col / 100), F.pmod(col, F.lit(100)))

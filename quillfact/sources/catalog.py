@@ -250,8 +250,9 @@ class Catalog:
                 big = [b or (k == MIXED and len(t) == 1) for b, k, t in zip(big, old.kinds, old.types)]
                 types = tuple(a | b for a, b in zip(types, old.types))
             kinds = tuple(next(iter(t)) if len(t) == 1 and not b else MIXED for t, b in zip(types, big))
-            df = df.dropDuplicates([f"a{i}" for i in range(n)]) if n else df.limit(1)
-            self._put(p, df.select(*[from_struct(F.col(f"a{i}"), k).alias(f"a{i}") for i, k in enumerate(kinds)]), kinds, types)
+            # a native column tells values of one type apart as their texts do, and takes a part of the room
+            df = df.select(*[from_struct(F.col(f"a{i}"), k).alias(f"a{i}") for i, k in enumerate(kinds)])
+            self._put(p, df.dropDuplicates([f"a{i}" for i in range(n)]) if n else df.limit(1), kinds, types)
             mixed = [i for i in range(n) if len(types[i]) > 1]
             said[p] = f"written, {sizes[p]} facts" + (f"; several types at position {', '.join(map(str, mixed))}" if mixed else "")
         return said
