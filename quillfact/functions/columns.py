@@ -38,7 +38,7 @@ class Term:
     kind: str
     types: frozenset
     value: Value | None = None  # of a literal
-    near: Column | None = None  # the nearest doubles of decimals, made before
+    near: tuple[Column, Column] | None = None  # the nearest doubles of decimals and the decimals in a struct, made before
 
 
 def native_literal(v: Value) -> Column | None:
@@ -144,10 +144,10 @@ def ordered(a: Term, op: str, b: Term) -> tuple[Column, Column | None]:
         return F.lit(False), _failure(a, ta, b, tb)
     if a.kind != MIXED and b.kind != MIXED:
         if {a.kind, b.kind} <= {"integer", "decimal"} and (a.kind != b.kind or a.near is not None and b.near is not None):
-            exact = OPS[op](a.col.cast("decimal(38,18)"), b.col.cast("decimal(38,18)"))
+            exact = OPS[op](*[(t.near[1] if t.near else t.col).cast("decimal(38,18)") for t in (a, b)])
             if all(t.near is not None or t.kind == "integer" for t in (a, b)):
                 # the nearest doubles are in the order of the numbers, or the same; comparing decimals makes objects
-                x, y = (t.col.cast("double") if t.near is None else t.near for t in (a, b))
+                x, y = (t.col.cast("double") if t.near is None else t.near[0] for t in (a, b))
                 exact = OPS[op[0]](x, y) | ((x == y) & exact)
             return exact, None
         return OPS[op](a.col, b.col), None

@@ -41,14 +41,14 @@ class Binding:
     kind: str
     types: frozenset
     unbound: bool = False  # may be null
-    near: str | None = None  # a column of the nearest doubles, if one was made for comparisons
+    near: tuple[str, str] | None = None  # columns of the nearest doubles and of the values in structs, if made for comparisons
 
     def term(self) -> Term:
-        return Term(F.col(self.column), self.kind, self.types, near=None if self.near is None else F.col(self.near))
+        return Term(F.col(self.column), self.kind, self.types, near=self.near and (F.col(self.near[0]), F.col(self.near[1])["x"]))
 
     @property
     def columns(self) -> list[str]:
-        return [self.column, *filter(None, [self.near])]
+        return [self.column, *(self.near or ())]
 
 
 @dataclass(frozen=True)
@@ -259,37 +259,71 @@ def _across(left: Relation, right: Relation, clauses) -> list:
 
 
 def _with_near(rel: Relation, names) -> Relation:
-    """The same with the nearest double of each decimal among the names, made once a row and not once a pair."""
-    more = {v: replace(b, near=f"v{next(_ids)}") for v, b in rel.vars.items() if v in names and b.kind == "decimal" and b.near is None}
-    df = rel.df.select("*", *[F.col(b.column).cast("double").alias(b.near) for b in more.values()])
-    return Relation(df, rel.vars | more)
+    """The same with the nearest double of each decimal among the names, made once a row and not once a pair.
 
+    A join reads all columns of its condition for each pair, and a decimal makes
+    objects; out of a struct it is read only where it is asked for.
+    """
+    more = {v: replace(b, near=(f"v{next(_ids)}", f"v{next(_ids)}")) for v, b in rel.vars.items() if v in names and b.kind == "decimal" and b.near is None}
+    made = [c for b in more.values() for c in (F.col(b.column).cast("double").alias(b.near[0]), F.struct(F.col(b.column).alias("x")).alias(b.near[1]))]
+    return Relation(rel.df.select("*", *made), rel.vars | more)
+
+
+def _plain(left: Relation, right: Relation) -> list[str]:
+    """The shared variables whose match is equality of two native columns."""
+    return [v for v in right.vars if v in left.vars and left.vars[v].kind == right.vars[v].kind != MIXED and not (left.vars[v].unbound or right.vars[v].unbound)]
 
-def _dealt(left: Relation, right: Relation, how: str) -> tuple[Relation, Relation, Column]:
-    """Both sides dealt into cells, and the condition that rows are of one cell.
+
+def _told(left: Relation, right: Relation, clauses) -> tuple[Relation, str | None]:
+    """The left side with a column that tells whether a row matches any of the right side.
+
+    Of one comparison by order, the greatest or least value there tells it; there is no
+    column (None) for other comparisons, nor where one can fail or a match is no plain equality.
+    """
+    shared, same = [v for v in right.vars if v in left.vars], _plain(left, right)
+    if len(clauses) != 1 or getattr(clauses[0], "op", None) not in OPS or shared != same or condition(clauses, {**right.vars, **left.vars})[1] is not None:
+        return left, None
+    x, op, y = clauses[0].left, clauses[0].op, clauses[0].right
+    if x.name not in left.vars:
+        x, op, y = y, op.translate(str.maketrans("<>", "><")), x
+    a, b = left.vars[x.name], right.vars[y.name]
+    if MIXED in (a.kind, b.kind):
+        return left, None
+    best, flag, by = f"v{next(_ids)}", f"v{next(_ids)}", {v: f"v{next(_ids)}" for v in same}
+    ends = right.df.groupBy(*[F.col(right.vars[v].column).alias(c) for v, c in by.items()]).agg((F.max if op[0] == "<" else F.min)(b.column).alias(best))
+    df = left.df.join(ends, [F.col(left.vars[v].column) == F.col(c) for v, c in by.items()], "left") if same else left.df.crossJoin(ends)
+    holds = F.coalesce(ordered(a.term(), op, Term(F.col(best), b.kind, b.types))[0], F.lit(False))
+    return Relation(df.select(*left.df.columns, holds.alias(flag)), left.vars), flag
+
+
+def _dealt(left: Relation, right: Relation, how: str, flag: str | None) -> tuple[Relation, Relation, Column, Column | None]:
+    """Both sides dealt into cells, the condition that rows are of one cell, and that
+    of a left join's rows to be kept, if not all are.
 
     Rows that are compared in pairs may be few megabytes with few values of the
     shared variables, which Spark would give to few tasks, or to one.  So each side
     is cut into slices by a hash of its rows, and each slice goes to a cell with every
     slice of the other side; a pair meets in one cell.  Where left rows without a match
-    count, only the left side is cut, so that each of them sees all it may match.
-    Cells are merged: nothing is broadcast and a task holds no more than Spark's buffer.
+    count and ``flag`` tells them, they go to one cell, and the others leave no row in
+    cells without a match; else only the left side is cut, so that each row sees all it may match.
+    Cells are merged, not broadcast, so a task holds no more than Spark's buffers.
     """
     spark = left.df.sparkSession
     cells = 2 * spark.sparkContext.defaultParallelism
-    n, m = (math.isqrt(cells - 1) + 1,) * 2 if how == "inner" else (cells, 1)
+    n, m = (math.isqrt(cells - 1) + 1,) * 2 if how == "inner" or flag else (cells, 1)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    same = [v for v in right.vars if v in left.vars and left.vars[v].kind == right.vars[v].kind != MIXED and not (left.vars[v].unbound or right.vars[v].unbound)]
-    sides, keys = [], []
+    same, sides, keys = _plain(left, right), [], []
     for rel, own, other, cell in ((left, n, m, lambda i, j: i * m + j), (right, m, n, lambda i, j: j * m + i)):
         mine = F.pmod(F.xxhash64(*[b.column for b in rel.vars.values()]), F.lit(own)) if own > 1 else F.lit(0)
         copy, key = f"v{next(_ids)}", f"v{next(_ids)}"
-        kept = [c for b in rel.vars.values() for c in b.columns]
-        df = rel.df.select(*kept, (F.explode(F.array(*map(F.lit, range(other)))) if other > 1 else F.lit(0)).alias(copy))
+        kept, to = [c for b in rel.vars.values() for c in b.columns], F.array(*map(F.lit, range(other)))
+        if rel is left and flag:
+            kept, to = [*kept, flag], F.when(F.col(flag), to).otherwise(F.array(F.lit(0)))
+        df = rel.df.select(*kept, (F.explode(to) if other > 1 else F.lit(0)).alias(copy))
         df = df.select(*kept, cell(mine, F.col(copy)).cast("int").alias(key))
         sides.append(Relation(df.repartition(tasks, *[rel.vars[v].column for v in same], key), rel.vars))
         keys.append(F.col(key))
-    return sides[0], replace(sides[1], df=sides[1].df.hint("merge")), keys[0] == keys[1]
+    return sides[0], replace(sides[1], df=sides[1].df.hint("merge")), keys[0] == keys[1], keys[1].isNotNull() | ~F.col(flag) if flag else None
 
 
 def _joined(left: Relation, right: Relation, outer: bool) -> tuple[dict[str, list[Column]], dict[str, Binding]]:
@@ -305,8 +339,8 @@ def _joined(left: Relation, right: Relation, outer: bool) -> tuple[dict[str, lis
             kind = l.kind if l.kind == r.kind else MIXED
             a, b = (F.col(l.column), F.col(r.column)) if kind == l.kind == r.kind else (lift(l.term()), lift(r.term()))
             cols[v], out[v] = F.coalesce(a, b), Binding(l.column, kind, l.types | r.types, r.unbound or outer)
-    named = {v: replace(b, column=f"v{next(_ids)}", near=b.near and f"v{next(_ids)}") for v, b in out.items()}
-    return {v: [cols[v].alias(b.column), *([F.col(out[v].near).alias(b.near)] if b.near else [])] for v, b in named.items()}, named
+    named = {v: replace(b, column=f"v{next(_ids)}", near=b.near and (f"v{next(_ids)}", f"v{next(_ids)}")) for v, b in out.items()}
+    return {v: [cols[v].alias(b.column), *[F.col(c).alias(n) for c, n in zip(out[v].near or (), b.near or ())]] for v, b in named.items()}, named
 
 
 def join(left: Relation, right: Relation, clauses=(), how: str = "inner", later=()) -> Relation:
@@ -314,10 +348,12 @@ def join(left: Relation, right: Relation, clauses=(), how: str = "inner", later=
     of the right side's group, which see both sides.  ``later`` are comparisons that an
     inner join's result is filtered by, which Catalyst makes part of the join."""
     right = right.fresh()
-    on = _on(left, right)
+    on, whole = _on(left, right), None
     if across := _across(left, right, [*clauses, *later]):
         names = {t.name for c in across for t in _seen(c)}
-        left, right, here = _dealt(_with_near(left, names - right.vars.keys()), _with_near(right, names - left.vars.keys()), how)
+        left, right = _with_near(left, names - right.vars.keys()), _with_near(right, names - left.vars.keys())
+        left, flag = _told(left, right, clauses) if how == "left" else (left, None)
+        left, right, here, whole = _dealt(left, right, how, flag)
         on = here if on is None else on & here
     both = {**right.vars, **left.vars}
     if clauses:
@@ -335,6 +371,7 @@ def join(left: Relation, right: Relation, clauses=(), how: str = "inner", later=
         df = left.df.crossJoin(right.df)
     else:
         df = left.df.join(right.df, F.lit(True) if on is None else on, how)
+    df = df if whole is None else df.where(whole)
     cols, named = _joined(left, right, how == "left")
     return Relation(df.select(*[c for cs in cols.values() for c in cs]), named)
 
@@ -418,7 +455,7 @@ def named(rel: Relation, doubles: bool = False) -> DataFrame:
     for v, b in rel.vars.items():
         c = F.col(b.column)
         if doubles and b.kind == "decimal":
-            c = c.cast("double") if b.near is None else F.col(b.near)
+            c = c.cast("double") if b.near is None else F.col(b.near[0])
         if b.kind == MIXED:
             c = F.when(c.isNotNull(), F.struct(c["t"].alias("type"), c["c"].alias("value")))
         cols.append(c.alias(v))
